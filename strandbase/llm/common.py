@@ -9,13 +9,14 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that count as white space in the contracts, as a regular expression class.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Characters of text handled at once inside a Python task.
-CHUNK_CHARS = 4_000_000
+#: Bytes of text handled at once inside a Python task.
+CHUNK_CHARS = 2_000_000
 
 _staged: list[tuple[object, str]] = []
 
@@ -90,20 +91,25 @@ def text_or_empty(df: DataFrame, column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches whose texts hold about CHUNK_CHARS characters, with the texts as Python strings."""
+def arrow_chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of the batches whose texts hold about CHUNK_CHARS bytes, with the texts; null is empty."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text))
-        sizes = pa.compute.binary_length(column).fill_null(0).to_pylist()
+        column = batch.column(batch.schema.get_field_index(text)).fill_null("")
+        sizes = pa.compute.binary_length(column).to_pylist()
         begin = total = 0
         for i, n in enumerate(sizes):
             total += n
             if total >= CHUNK_CHARS or i == len(sizes) - 1:
-                part = batch.slice(begin, i + 1 - begin)
-                yield part, [x or "" for x in part.column(part.schema.get_field_index(text)).to_pylist()]
+                yield batch.slice(begin, i + 1 - begin), column.slice(begin, i + 1 - begin)
                 begin, total = i + 1, 0
 
 
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """arrow_chunks with the texts as Python strings."""
+    for part, texts in arrow_chunks(batches, text):
+        yield part, texts.to_pylist()
+
+
 def crc_fold(column, modulus: int):
     """crc32 of a column as text, modulo: the fold rule of the labelled operators."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(modulus)).cast("int")

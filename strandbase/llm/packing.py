@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, stage, text_or_empty
+from .common import arrow_chunks, stage, text_or_empty
 from .tokens import spaced_words, word_encoder
 
 CAPACITY = 2048
@@ -151,7 +151,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer, split)
-        for part, texts in chunks(batches):
+        for part, texts in arrow_chunks(batches):
             ids, n = encoder.encode(texts)
             ids, n = np.insert(ids, np.cumsum(n), end_id).astype("<u4"), n + 1
             k = -(-n // capacity)
