@@ -1,16 +1,68 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences: five stages over the documents table.
+
+Every stage but the last returns the columns of its input. A null doc_id has no copies to compare with: near-dedup
+leaves such rows alone. Of rows with one doc_id near-dedup keeps one.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandbase.llm import packing, quality, secrets, simhash, toxicity
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the quality threshold go."""
+    scored = quality.score(docs, quality.fit(docs, _labels(spark, sf_dir)), docs.columns)
+    return scored.filter(F.col("__score") >= quality.KEEP_AT).select(*docs.columns)
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxic documents go."""
+    scored = toxicity.score(docs, toxicity.fit(docs, _labels(spark, sf_dir)), docs.columns)
+    return scored.filter(F.col("__score") < 0.5).select(*docs.columns)
 
-STAGES: list = []
-#: No stage but the last could be put in SQL; the tests hold the pipeline against brute force.
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component the document with the smallest doc_id stays."""
+    groups = simhash.near_duplicates(docs)
+    stay = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark, and n_chars follows."""
+    return secrets.redact_documents(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all pieces in sequences of 2048 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("toxicity_filter", toxicity_filter),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("secret_scans", secret_scans),
+    ("best_fit_packing", best_fit_packing),
+]
+#: The first three stages can't be put in SQL; the tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, one after another, each written in the shared folder and read by the next."""
+    from strandbase.llm.common import stage as staged
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, step in STAGES[:-1]:
+        docs = staged(step(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -117,6 +117,26 @@ def redact(text: Column, findings: Column, mark: str = "[REDACTED]") -> Column:
     return F.aggregate(findings, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
+def redact_documents(docs: DataFrame, ledger: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """The same rows and columns with secrets redacted; n_chars, where there is one, counts the new text."""
+    added = stage(scan_unseen(docs, ledger, RULES, text), "ledger")
+    whole = added if ledger is None else added.unionByName(ledger.select(*added.columns))
+    found = findings_by_blob(whole).select(F.col("blob").alias("__blob"), F.col("findings").alias("__found"))
+    found = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    keyed = docs.withColumn("__blob", F.sha2(body, 256)).withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    joined = keyed.join(found, ["__blob", "__salt"], "left")
+    clean = F.when(F.col("__found").isNotNull(), redact(F.col(text), F.col("__found"))).otherwise(F.col(text))
+    columns = [F.col(c) for c in docs.columns]
+    joined = joined.withColumn("__clean", clean)
+    for i, c in enumerate(docs.columns):
+        if c == text:
+            columns[i] = F.col("__clean").alias(c)
+        elif c == "n_chars":
+            columns[i] = F.when(F.col("__found").isNotNull(), F.length("__clean").cast(dict(docs.dtypes)[c])).otherwise(F.col(c)).alias(c)
+    return joined.select(*columns)
+
+
 def secret_digest(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """doc_id, the number of findings by kind, their digest and themselves."""
     rows, _ = scan(docs, ledger)

@@ -1,11 +1,11 @@
 """Toxicity by class-conditional Kneser-Ney models of how words are spelt.
 
-For each class a model of order five over the characters of words is made from the number of labelled documents of
+For each class a model of order seven over the characters of words is made from the number of labelled documents of
 that class that hold each word. Both back off to the same lower orders of continuation counts over all labelled
 documents, so that spellings that neither class knows say nothing. A word's evidence is the difference of its toxic
-and ordinary log-likelihood by its length; a document's is the mean of its two most telling words. A logistic curve
-turns it into a score; it is fitted on at most ``FIT_ROWS`` labelled rows, each scored by the counts of the half of
-the labelled rows that it is not in.
+and ordinary log-likelihood by its length. A document's evidence is that of all its words by their length, of its few
+most telling words, and how many of its words are telling. A logistic curve turns it into a score; it is fitted on at
+most ``FIT_ROWS`` labelled rows, each read by the counts of the half of the labelled rows that it is not in.
 
 Counts cover every row one may learn from. They are kept by key modulo a prime: the tables that reach driver and
 tasks have at most ``CELLS`` entries an order, whatever the corpus; that is their proven bound.
@@ -27,15 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, crc_fold, stage, text_or_empty
-from .quality import labelled
+from .quality import _with_body, labelled
 from .tokens import _Index
 
-ORDER = 5
-BITS = 12  # of a character; code points from 2^12 on fold into it
-CELLS = 2_097_143  # a prime; of grams of order five
-FEW = 524_287  # a prime; of shorter grams
+ORDER = 7
+BITS = 9  # of a character; code points from 2^9 on fold into it
+CELLS = 2_097_143  # a prime; of grams of the full order and their contexts
+FEW = 1_048_573  # a prime; of shorter grams
 FIT_ROWS = 20_000
 LIMIT = 6.0  # of a word's evidence
+TELLING = 2.0  # evidence of a whole word that counts as telling
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _MASK = (1 << BITS) - 1
 
@@ -45,7 +46,7 @@ def words_of(text: str) -> list[str]:
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all grams of order five (four starts, the letters, an end), and the number of each word's."""
+    """Keys of all grams of the full order (starts, the letters, an end), and the number of each word's."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
     codes = np.where(letters > 2, letters & _MASK, 3)
@@ -131,7 +132,7 @@ class Models:
         c = _dense(five, ["t0", "t1", "o0", "o1"], CELLS)
         seen = lambda x: F.when(x > 0, 1).otherwise(0)
         kinds = {f"k_{n}": seen(sum(F.col(x) for x in n.split("_"))) for n in ("t0_t1", "o0_o1", "t0", "t1", "o0", "o1")}
-        h = _dense(five.withColumns(kinds).withColumn("key", F.col("context")), ["t0", "t1", "o0", "o1", *kinds])
+        h = _dense(five.withColumns(kinds).withColumn("key", F.col("context")), ["t0", "t1", "o0", "o1", *kinds], CELLS)
         level = lambda x: _level(sum(c[k] for k in x.split("_")), sum(h[k] for k in x.split("_")), h[f"k_{x}"])
         self.all = (level("t0_t1"), level("o0_o1"))
         self.without = [(level("t1"), level("o1")), (level("t0"), level("o0"))]
@@ -152,65 +153,82 @@ def word_evidence(words: list[str], pair: tuple[Level, Level], shared: list[Leve
     for order, level in zip(range(1, ORDER), shared[::-1]):
         key = keys & ((1 << BITS * order) - 1)
         p = _prob(level, key % FEW, (key >> BITS) % FEW, p)
-    gram, context = keys % CELLS, (keys >> BITS) % FEW
+    gram, context = keys % CELLS, (keys >> BITS) % CELLS
     toxic, ordinary = (_prob(level, gram, context, p) for level in pair)
     return np.clip(np.add.reduceat(np.log(toxic) - np.log(ordinary), np.cumsum(n) - n) / n, -LIMIT, LIMIT)
 
 
+FEATURES = 6
+
+
+def document_evidence(values: np.ndarray, sizes: np.ndarray) -> list[float]:
+    """Of a document's words, by their evidence and length: two and four most telling words, mean by length, share and
+    number of telling words, and length."""
+    n, total = len(values), values * sizes
+    if not n:
+        return [0.0] * FEATURES
+    top = np.sort(np.partition(values, max(0, n - 4))[-4:])[::-1]
+    sums = np.partition(total, max(0, n - 4))[-4:]
+    telling = int((total > TELLING).sum())
+    return [top[:2].sum() / 2, sums.sum() / 4, total.sum() / sizes.sum() * 10, telling / n * 30, np.log1p(telling), np.log1p(n) / 3]
+
+
 class Reader:
     """Evidence of documents, each different word judged once while it is held."""
 
     def __init__(self, pair: tuple[Level, Level], shared: list[Level], limit: int = 300_000):
         self.pair, self.shared, self.limit = pair, shared, limit
-        self.index, self.known = _Index(), np.zeros(0)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.index, self.known, self.sizes = _Index(), np.zeros(0), np.zeros(0)
 
     def read(self, texts: list[str]) -> np.ndarray:
+        """A row of FEATURES for each text."""
         if len(self.index) > self.limit:
-            self.index, self.known = _Index(), np.zeros(0)
+            self._clear()
         words = [words_of(t) for t in texts]
         n = np.fromiter(map(len, words), np.int64, len(words))
         at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
-        if self.index.new:
-            self.known = np.concatenate([self.known, word_evidence(self.index.new, self.pair, self.shared)])
+        if new := self.index.new:
+            self.known = np.concatenate([self.known, word_evidence(new, self.pair, self.shared)])
+            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, new), float, len(new)) + 1])
             self.index.new = []
-        values, ends, out = self.known[at], np.cumsum(n), np.zeros(len(texts))
-        for i, (a, b) in enumerate(zip((ends - n).tolist(), ends.tolist())):
-            if b - a >= 2:
-                out[i] = np.partition(values[a:b], b - a - 2)[-2:].mean()
-            elif b > a:
-                out[i] = values[a] / 2
-        return out
-
-
-def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and intercept of a logistic curve, by damped Newton steps with a small ridge on the slope."""
-    a, b = 1.0, float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
+        ends = np.cumsum(n)
+        values, sizes = self.known[at], self.sizes[at]
+        return np.array([document_evidence(values[a:b], sizes[a:b]) for a, b in zip((ends - n).tolist(), ends.tolist())]).reshape(-1, FEATURES)
+
+
+def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a logistic curve, by damped Newton steps with a small ridge on the weights."""
+    one = np.column_stack([x, np.ones(len(x))])
+    w, ridge = np.zeros(one.shape[1]), np.array([1e-4] * x.shape[1] + [1e-9])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        w = np.maximum(p * (1 - p), 1e-9)
-        g = np.array([((p - y) * x).mean() + 1e-3 * a, (p - y).mean()])
-        h = np.array([[(w * x * x).mean() + 1e-3, (w * x).mean()], [(w * x).mean(), w.mean() + 1e-6]])
-        move = np.clip(np.linalg.solve(h, g), -2, 2)
-        a, b = a - move[0], b - move[1]
+        p = 1 / (1 + np.exp(-np.clip(one @ w, -30, 30)))
+        g = one.T @ (p - y) / len(y) + ridge * w
+        h = (one * np.maximum(p * (1 - p), 1e-9)[:, None]).T @ one / len(y) + np.diag(ridge)
+        move = np.clip(np.linalg.solve(h, g), -3, 3)
+        w -= move
         if np.abs(move).max() < 1e-9:
             break
-    return float(a), float(b)
+    return w[:-1], float(w[-1])
 
 
 class Scorer:
-    def __init__(self, models: Models | None, curve: tuple[float, float] = (0.0, 0.0)):
+    def __init__(self, models: Models | None, curve: tuple[np.ndarray, float] | None = None):
         self.models, self.curve = models, curve
 
 
-def on_curve(evidence: np.ndarray, curve: tuple[float, float]) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(curve[0] * evidence + curve[1], -30, 30)))
+def on_curve(evidence: np.ndarray, curve: tuple[np.ndarray, float]) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(evidence @ curve[0] + curve[1], -30, 30)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, column: str = "toxic", modulus: int = 5, held_out: int = 0) -> Scorer:
     known = labelled(labels, column, modulus, held_out)
     half = F.pmod(F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / modulus), F.lit(2)).cast("int")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
-    rows = text.join(known, "doc_id").withColumn("half", half)
+    # Always the same join: labels grow with the corpus and are no table to broadcast.
+    rows = text.join(known.hint("shuffle_hash"), "doc_id").withColumn("half", half)
     counts = stage(count_grams(rows), "grams")
     ends = counts.agg(F.sum(F.col("t0") + F.col("t1")), F.sum(F.col("o0") + F.col("o1"))).first()
     if not ends[0] or not ends[1]:
@@ -223,27 +241,26 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, column: st
         readers = [Reader(pair, sent.value[1]) for pair in sent.value[0]]
         for part, texts in chunks(batches):
             half_ = part.column("half").to_numpy()
-            both = np.array([r.read(texts) for r in readers])
-            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(both[half_, np.arange(len(half_))])], ["label", "x"])
+            both = np.array([r.read(texts) for r in readers])[half_, np.arange(len(half_))]
+            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(both.tolist(), pa.list_(pa.float64()))], ["label", "x"])
 
     marked = text.join(F.broadcast(sample), "doc_id").select("text", "label", half.alias("half"))
-    got: pd.DataFrame = marked.mapInArrow(run, "label int, x double").limit(2 * fit_rows).toPandas()
+    got: pd.DataFrame = marked.mapInArrow(run, "label int, x array<double>").limit(2 * fit_rows).toPandas()
     sent.unpersist()
     models.without = []
-    return Scorer(models, fit_curve(got["x"].to_numpy(), got["label"].to_numpy().astype(float)))
+    return Scorer(models, fit_curve(np.array(got["x"].tolist()), got["label"].to_numpy().astype(float)))
 
 
 def score(docs: DataFrame, scorer: Scorer, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of the input and __score of each document."""
-    types = dict(docs.dtypes)
-    rows = docs.select(*[F.col(c) for c in keep], text_or_empty(docs).alias("__text"))
+    rows, body, types = _with_body(docs, keep), "text" if "text" in keep else "__text", dict(docs.dtypes)
     if scorer.models is None:
         return rows.select(*keep, F.lit(0.0).alias("__score"))
     sent, curve = docs.sparkSession.sparkContext.broadcast((scorer.models.all, scorer.models.shared)), scorer.curve
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(*sent.value)
-        for part, texts in chunks(batches, "__text"):
+        for part, texts in chunks(batches, body):
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(on_curve(reader.read(texts), curve))], [*keep, "__score"])
 
     return rows.mapInArrow(run, ", ".join([*[f"`{c}` {types[c]}" for c in keep], "__score double"]))
