@@ -16,8 +16,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import sys
-import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_chunks, text_or_empty
+from .common import arrow_chunks, held_by_worker, text_or_empty
 from .tokens import WordEncoder, spaced_words
 
 ROUNDS = 64
@@ -35,29 +33,32 @@ CONTRACT = """
 WITH RECURSIVE step(round, word, pos, tok) AS (
     SELECT 0, word, pos, tok FROM start
     UNION ALL
-    SELECT round + 1, word, pos, CASE WHEN hit THEN m ELSE tok END
+    SELECT round + 1, word, pos, CASE WHEN {hit} THEN m ELSE tok END
     FROM (
-        SELECT *, coalesce(lag(hit) OVER (PARTITION BY word ORDER BY pos), false) AS gone
+        SELECT p.*, g.m, min(g.m::BIGINT << 32 | pos) OVER (PARTITION BY word ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS best,
+               lag(g.m) OVER in_order AS m_before, lag(tok) OVER in_order AS tok_before, lag(pos) OVER in_order AS pos_before
         FROM (
-            SELECT round, word, pos, tok, m, best, coalesce(m = best >> 32 AND (tok <> nxt OR {first}), false) AS hit
-            FROM (
-                SELECT p.*, g.m, min(g.m::BIGINT << 32 | pos) OVER (PARTITION BY word) AS best
-                FROM (
-                    SELECT *, lead(tok) OVER in_order AS nxt{stretch}
-                    FROM step WHERE round < {rounds} WINDOW in_order AS (PARTITION BY word ORDER BY pos)
-                ) p LEFT JOIN merges g ON g.pair = (p.tok::BIGINT << 20) | p.nxt
-            )
-        ) WHERE best IS NOT NULL
-    ) WHERE NOT gone
+            SELECT *, lead(tok) OVER in_order AS nxt{stretch}
+            FROM step WHERE round < {rounds} WINDOW in_order AS (PARTITION BY word ORDER BY pos)
+        ) p LEFT JOIN merges g ON g.pair = (p.tok::BIGINT << 20) | p.nxt
+        WINDOW in_order AS (PARTITION BY word ORDER BY pos)
+    )
+    WHERE best IS NOT NULL AND NOT coalesce({hit_before}, false)
 )
-SELECT round, word, pos, tok FROM step QUALIFY round = max(round) OVER (PARTITION BY word)
+SELECT round, word, pos, tok FROM step
 """
 #: Pairs of equal tokens can overlap. In short words only the leftmost of them is contracted in a round; in long ones
 #: every second of a stretch of equal tokens, from its first on.
-SHORT = {"first": "pos = best & 4294967295", "stretch": ""}
+SHORT = {
+    "hit": "m = best >> 32 AND (tok <> nxt OR pos = best & 4294967295)",
+    "hit_before": "m_before = best >> 32 AND (tok_before <> tok OR pos_before = best & 4294967295)",
+    "stretch": "",
+}
 LONG = {
-    "first": "row_number() OVER (PARTITION BY word, tok, stretch ORDER BY pos) % 2 = 1",
-    "stretch": ", row_number() OVER in_order - row_number() OVER (PARTITION BY word, tok ORDER BY pos) AS stretch",
+    "hit": "m = best >> 32 AND (tok <> nxt OR nth % 2 = 1)",
+    "hit_before": "m_before = best >> 32 AND (tok_before <> tok OR nth % 2 = 0)",
+    "stretch": """, row_number() OVER (PARTITION BY word, tok, stretch ORDER BY pos) AS nth
+            FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY pos) - row_number() OVER (PARTITION BY word, tok ORDER BY pos) AS stretch FROM step) step""",
 }
 LONG_WORD = 256
 DECODE = "SELECT word, string_agg(bytes, '' ORDER BY pos) AS hex FROM ids JOIN vocabulary USING (tok) GROUP BY word"
@@ -78,13 +79,21 @@ class DuckBpe:
         self.con.execute("CREATE TABLE merges AS FROM m; CREATE TABLE vocabulary AS FROM v")
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.words = WordEncoder(self.encode_words, self.findall)
-        self.chunks = WordEncoder(self._encode_chunks, spaced_words)
+        self.chunks = WordEncoder(self._encode_chunks, spaced_words, True)
         self.decoded: list[bytes] = []
 
     def _contract(self, word: np.ndarray, pos: np.ndarray, tok: np.ndarray, rounds: int, long: bool) -> tuple[np.ndarray, ...]:
         self.con.register("start", pa.table({"word": word, "pos": pos, "tok": tok}))
-        got = self.con.execute(CONTRACT.format(rounds=rounds, **(LONG if long else SHORT))).fetchnumpy()
-        return tuple(np.asarray(got[c]) for c in ("round", "word", "pos", "tok"))
+        query = CONTRACT.format(rounds=rounds, **(LONG if long else SHORT))
+        if long:
+            query = query.replace("FROM step WHERE", "WHERE", 1)
+        got = self.con.execute(query).fetchnumpy()
+        rounds_, word, pos, tok = (np.asarray(got[c]) for c in ("round", "word", "pos", "tok"))
+        order = np.argsort(rounds_, kind="stable")
+        last = np.zeros(int(word.max()) + 1, np.int32)
+        last[word[order]] = rounds_[order]  # of equal places the last is kept
+        end = rounds_ == last[word]
+        return rounds_[end], word[end], pos[end], tok[end]
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their numbers, of whole matches of the pattern."""
@@ -98,8 +107,8 @@ class DuckBpe:
         for lo, hi in _groups(sizes, ROWS):
             n, ids = sizes[lo:hi], np.array(todo[lo:hi], np.int64)
             flat = self.byte[np.frombuffer(b"".join(data[i] for i in todo[lo:hi]), np.uint8)]
-            word = np.repeat(ids, n)
-            pos = np.arange(len(flat)) - np.repeat(ends[lo:hi] - n - (ends[lo] - n[0]), n)
+            word = np.repeat(ids, n).astype(np.int32)
+            pos = (np.arange(len(flat)) - np.repeat(ends[lo:hi] - n - (ends[lo] - n[0]), n)).astype(np.int32)
             while len(word):
                 rounds = max(1, min(ROUNDS, 40 * ROWS // len(word)))
                 r, word, pos, tok = self._contract(word, pos, flat, rounds, bool(n.max() > LONG_WORD))
@@ -152,20 +161,11 @@ def _groups(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def worker_bpe(ranks_path: str, pattern: str) -> DuckBpe:
-    """The encoder of this Python worker, kept from task to task."""
-    held = sys.modules.setdefault("strandbase_worker", types.ModuleType("strandbase_worker")).__dict__
-    key = ("bpe", ranks_path, pattern)
-    if key not in held:
-        held[key] = DuckBpe(ranks_path, pattern)
-    return held[key]
-
-
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = worker_bpe(ranks_path, pattern)
+        bpe = held_by_worker(("bpe", ranks_path, pattern), lambda: DuckBpe(ranks_path, pattern))
         for part, texts in arrow_chunks(batches):
             rows = [(len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest()) for ids, back in bpe.read(texts)]
             n, a, b = zip(*rows)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import os
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -110,6 +112,14 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
         yield part, texts.to_pylist()
 
 
+def held_by_worker(key: tuple, make):
+    """An object that a Python worker keeps from task to task; only ever a cache, so a new worker makes its own."""
+    held = sys.modules.setdefault("strandbase_worker", types.ModuleType("strandbase_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def crc_fold(column, modulus: int):
     """crc32 of a column as text, modulo: the fold rule of the labelled operators."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(modulus)).cast("int")
