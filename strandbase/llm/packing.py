@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_chunks, stage, text_or_empty
-from .tokens import spaced_words, word_encoder
+from .common import arrow_chunks, held_by_worker, stage, text_or_empty
+from .tokens import word_encoder
 
 CAPACITY = 2048
 Pattern = tuple[tuple[tuple[int, int], ...], int]  # ((length, copies), ...), bins
@@ -146,11 +146,11 @@ def places(patterns: list[Pattern]) -> dict[str, np.ndarray]:
     return {"key": (a[:, 0] << 44) + a[:, 1], "first": a[:, 2], "copies": a[:, 3], "offset": a[:, 4]}
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, split=spaced_words) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, spaced: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(tokenizer, split)
+        encoder = held_by_worker(("words", tokenizer, spaced), lambda: word_encoder(tokenizer, spaced))
         for part, texts in arrow_chunks(batches):
             ids, n = encoder.encode(texts)
             ids, n = np.insert(ids, np.cumsum(n), end_id).astype("<u4"), n + 1

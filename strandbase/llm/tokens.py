@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_chunks, commit_file, new_path, text_or_empty
+from .common import arrow_chunks, commit_file, held_by_worker, new_path, text_or_empty
 
 MAGIC = b"SBTOK1\0\0"
 HEAD = "<8sIIQQ"
@@ -72,8 +72,8 @@ class WordEncoder:
     which is right where no two spaces meet and none ends the text.
     """
 
-    def __init__(self, encode_many, split, limit: int = 600_000, chars: int = 20_000_000):
-        self.encode_many, self.split, self.limit, self.chars = encode_many, split, limit, chars
+    def __init__(self, encode_many, split, spaced: bool = False, limit: int = 800_000, chars: int = 20_000_000):
+        self.encode_many, self.split, self.spaced, self.limit, self.chars = encode_many, split, spaced, limit, chars
         self._clear()
 
     def _clear(self) -> None:
@@ -84,7 +84,7 @@ class WordEncoder:
         return np.fromiter(map(self.index.__getitem__, words), np.int64, n)
 
     def _by_arrow(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        spaced = self.split is spaced_words
+        spaced = self.spaced
         lists = pc.split_pattern(texts, " ") if spaced else pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
         words, edges = coded.dictionary.to_pylist(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
@@ -104,7 +104,7 @@ class WordEncoder:
             self._clear()
         if isinstance(texts, list):
             at, per_text = self._by_split(texts)
-        elif self.split is spaced_words and (odd := pc.or_(pc.match_substring(texts, "  "), pc.ends_with(texts, " ")).to_numpy(zero_copy_only=False)).any():
+        elif self.spaced and (odd := pc.or_(pc.match_substring(texts, "  "), pc.ends_with(texts, " ")).to_numpy(zero_copy_only=False)).any():
             (at_a, n_a), (at_b, n_b) = self._by_arrow(texts.filter(pa.array(~odd))), self._by_split(texts.filter(pa.array(odd)).to_pylist())
             per_text = np.zeros(len(odd), np.int64)
             per_text[~odd], per_text[odd] = n_a, n_b
@@ -138,7 +138,7 @@ def _bare_parts(word: str) -> tuple[str, ...]:
     return (word,) if m is None else (m[1].lower(), m[2]) if m[2] else (m[1].lower(),)
 
 
-def word_encoder(path: str, split) -> WordEncoder:
+def word_encoder(path: str, spaced: bool) -> WordEncoder:
     """Of a tokenizer file; special tokens' strings in a text are ordinary text.
 
     New words are encoded many in one string, at a third of the cost of one by one: spaced ones with a line feed
@@ -152,9 +152,9 @@ def word_encoder(path: str, split) -> WordEncoder:
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
     alone = lambda words: [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)]
-    if by_line := split is spaced_words:
+    if spaced:
         joined, between, is_end = t, "\n", t.encode("\n", add_special_tokens=False).ids
-        fits = lambda w: w != "" and "\n" not in w and not w.isspace()
+        fits = lambda w: w != "" and "\n" not in w and not w[-1].isspace()
     else:
         joined, between, is_end = Tokenizer.from_file(path), " ", [i for w, i in t.get_vocab().items() if w.endswith("</w>")]
         joined.encode_special_tokens, joined.normalizer = True, None
@@ -165,10 +165,10 @@ def word_encoder(path: str, split) -> WordEncoder:
     def encode_many(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         good = np.fromiter(map(fits, words), bool, len(words))
         rest = list(compress(words, good.tolist()))
-        texts = [between.join([*rest[i : i + 2000], ""]) if by_line else between.join(rest[i : i + 2000]) for i in range(0, len(rest), 2000)]
+        texts = [between.join([*rest[i : i + 2000], ""]) if spaced else between.join(rest[i : i + 2000]) for i in range(0, len(rest), 2000)]
         line = np.concatenate([np.zeros(0, np.uint32), *[np.array(e.ids, np.uint32) for e in joined.encode_batch_fast(texts, add_special_tokens=False)]])
         sizes = np.diff(np.flatnonzero(ends[line]), prepend=-1)
-        if by_line:
+        if spaced:
             line, sizes = line[~ends[line]], sizes - 1
         if good.all():
             return line, sizes
@@ -179,7 +179,9 @@ def word_encoder(path: str, split) -> WordEncoder:
         whole[of_good], whole[~of_good] = line, list(chain.from_iterable(single))
         return whole, both
 
-    return WordEncoder(encode_many if by_line else WordEncoder(encode_many, _bare_parts).encode, split)
+    if spaced:
+        return WordEncoder(encode_many, spaced_words, True)
+    return WordEncoder(WordEncoder(encode_many, _bare_parts).encode, bare_words)
 
 
 def bits_for(vocabulary: int) -> int:
@@ -231,7 +233,7 @@ class Shard:
         return np.concatenate(parts)[start - first * self.block :][:n]
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, split=bare_words) -> list[tuple[int, int, int]]:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, spaced: bool = False) -> list[tuple[int, int, int]]:
     """Write the shards of a table with doc_id and text; (shard, documents, ids) of each in ascending doc_id order.
 
     The list has one small row a shard; a shard is a range of doc_ids and so has no more than a partition's rows.
@@ -240,7 +242,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
-        encoder, task = word_encoder(tokenizer, split), TaskContext.get()
+        encoder, task = held_by_worker(("words", tokenizer, spaced), lambda: word_encoder(tokenizer, spaced)), TaskContext.get()
         bits = bits_for(max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1))
         doc_ids, counts, ids = [], [], []
         for part, texts in arrow_chunks(batches):
@@ -282,7 +284,7 @@ def read_shards(docs: DataFrame, folder: str, shards: list[tuple[int, int, int]]
     return files.mapInArrow(run, schema)
 
 
-def token_ids(docs: DataFrame, tokenizer: str, end_id: int = 1, split=bare_words) -> DataFrame:
+def token_ids(docs: DataFrame, tokenizer: str, end_id: int = 1, spaced: bool = False) -> DataFrame:
     """Write shards in the shared folder and return what reading them back gives."""
     folder = new_path(docs.sparkSession, "tokens")
-    return read_shards(docs, folder, write_shards(docs, folder, tokenizer, end_id, split))
+    return read_shards(docs, folder, write_shards(docs, folder, tokenizer, end_id, spaced))
