@@ -94,14 +94,10 @@ def count_grams(rows: DataFrame) -> DataFrame:
     return found.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("t0", "t1", "o0", "o1")])
 
 
-def _dense(df: DataFrame, names: list[str], cells: int = FEW) -> dict[str, np.ndarray]:
-    """Columns by cell; at most ``cells`` rows come to the driver."""
-    got = df.groupBy((F.col("key") % cells).cast("int").alias("cell")).agg(*[F.sum(c).cast("float").alias(c) for c in names]).toPandas()
-    out = {}
-    for c in names:
-        out[c] = np.zeros(cells, np.float32)
-        out[c][got["cell"].to_numpy()] = got[c].to_numpy()
-    return out
+def _by_cell(df: DataFrame, names: list[str], cells: int = FEW) -> dict[str, np.ndarray]:
+    """cell and the sums of ``names``; at most ``cells`` rows come to the driver, as arrays."""
+    got = df.groupBy((F.col("key") % cells).cast("int").alias("cell")).agg(*[F.sum(c).cast("float").alias(c) for c in names]).toArrow()
+    return {c: got.column(c).to_numpy() for c in ("cell", *names)}
 
 
 def _discount(counts: np.ndarray) -> float:
@@ -110,13 +106,22 @@ def _discount(counts: np.ndarray) -> float:
 
 
 Level = tuple[np.ndarray, np.ndarray, np.ndarray]
+Thin = tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
 
+def _level(cells: int, grams_: np.ndarray, counts: np.ndarray, context_cells: int, contexts: np.ndarray, totals: np.ndarray, kinds: np.ndarray) -> Thin:
+    """max(count - D, 0) by gram; one by total, and D * kinds by total, by context; only what is not at its default."""
+    d, gram, seen = _discount(counts), counts > 0, totals > 0
+    by = (1 / totals[seen]).astype(np.float32)
+    back = np.minimum(d * kinds[seen] * by, 1).astype(np.float32)
+    return cells, context_cells, grams_[gram], np.maximum(counts[gram] - d, 0).astype(np.float32), contexts[seen], by, back
 
-def _level(counts: np.ndarray, totals: np.ndarray, kinds: np.ndarray) -> Level:
-    """max(count - D, 0) by gram; one by total, and D * kinds by total, by context."""
-    d, seen = _discount(counts), totals > 0
-    by = np.where(seen, 1 / np.maximum(totals, 1), 0).astype(np.float32)
-    return np.maximum(counts - d, 0), by, np.where(seen, np.minimum(d * kinds * by, 1), 1).astype(np.float32)
+
+def _full(thin: Thin) -> Level:
+    cells, context_cells, gram, less, context, by, back = thin
+    out = np.zeros(cells, np.float32), np.zeros(context_cells, np.float32), np.ones(context_cells, np.float32)
+    out[0][gram], out[1][context], out[2][context] = less, by, back
+    return out
 
 
 def _prob(level: Level, gram: np.ndarray, context: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -125,23 +130,25 @@ def _prob(level: Level, gram: np.ndarray, context: np.ndarray, lower: np.ndarray
 
 
 class Models:
-    """The two classes' models (for all rows, and without either half) over the shared lower orders."""
+    """The two classes' models (for all rows, and without either half) over the shared lower orders, as thin levels."""
 
     def __init__(self, counts: DataFrame):
+        halves = ["t0", "t1", "o0", "o1"]
         five = counts.withColumn("context", F.shiftright("key", BITS))
-        c = _dense(five, ["t0", "t1", "o0", "o1"], CELLS)
+        c = _by_cell(five, halves, CELLS)
         seen = lambda x: F.when(x > 0, 1).otherwise(0)
-        kinds = {f"k_{n}": seen(sum(F.col(x) for x in n.split("_"))) for n in ("t0_t1", "o0_o1", "t0", "t1", "o0", "o1")}
-        h = _dense(five.withColumns(kinds).withColumn("key", F.col("context")), ["t0", "t1", "o0", "o1", *kinds], CELLS)
-        level = lambda x: _level(sum(c[k] for k in x.split("_")), sum(h[k] for k in x.split("_")), h[f"k_{x}"])
+        kinds = {f"k_{n}": seen(sum(F.col(x) for x in n.split("_"))) for n in ("t0_t1", "o0_o1", *halves)}
+        h = _by_cell(five.withColumns(kinds).withColumn("key", F.col("context")), [*halves, *kinds], CELLS)
+        level = lambda x: _level(CELLS, c["cell"], sum(c[k] for k in x.split("_")), CELLS, h["cell"], sum(h[k] for k in x.split("_")), h[f"k_{x}"])
         self.all = (level("t0_t1"), level("o0_o1"))
         self.without = [(level("t1"), level("o1")), (level("t0"), level("o0"))]
+        del c, h
         self.shared, below = [], counts
         for order in range(ORDER - 1, 0, -1):  # each gram counts the different characters before it
             below = below.groupBy(F.col("key").bitwiseAND((1 << BITS * order) - 1).alias("key")).agg(F.count("*").alias("n"))
             context = below.select(F.shiftright("key", BITS).alias("key"), "n", F.lit(1).alias("kinds"))
-            grams_, contexts = _dense(below, ["n"]), _dense(context, ["n", "kinds"])
-            self.shared.append(_level(grams_["n"], contexts["n"], contexts["kinds"]))
+            g, k = _by_cell(below, ["n"]), _by_cell(context, ["n", "kinds"])
+            self.shared.append(_level(FEW, g["cell"], g["n"], FEW, k["cell"], k["n"], k["kinds"]))
 
 
 def word_evidence(words: list[str], pair: tuple[Level, Level], shared: list[Level]) -> np.ndarray:
@@ -234,11 +241,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, column: st
     if not ends[0] or not ends[1]:
         return Scorer(None)
     models = Models(counts)
-    sent = docs.sparkSession.sparkContext.broadcast((models.without, models.shared))  # arrays of CELLS and FEW entries
+    sent = docs.sparkSession.sparkContext.broadcast((models.without, models.shared))  # at most CELLS and FEW entries an order
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        readers = [Reader(pair, sent.value[1]) for pair in sent.value[0]]
+        lower = [_full(x) for x in sent.value[1]]
+        readers = [Reader(tuple(map(_full, pair)), lower) for pair in sent.value[0]]
         for part, texts in chunks(batches):
             half_ = part.column("half").to_numpy()
             both = np.array([r.read(texts) for r in readers])[half_, np.arange(len(half_))]
@@ -246,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, column: st
 
     marked = text.join(F.broadcast(sample), "doc_id").select("text", "label", half.alias("half"))
     got: pd.DataFrame = marked.mapInArrow(run, "label int, x array<double>").limit(2 * fit_rows).toPandas()
-    sent.unpersist()
+    sent.destroy()
     models.without = []
     return Scorer(models, fit_curve(np.array(got["x"].tolist()), got["label"].to_numpy().astype(float)))
 
@@ -259,7 +267,7 @@ def score(docs: DataFrame, scorer: Scorer, keep: list[str]) -> DataFrame:
     sent, curve = docs.sparkSession.sparkContext.broadcast((scorer.models.all, scorer.models.shared)), scorer.curve
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(*sent.value)
+        reader = Reader(tuple(map(_full, sent.value[0])), [_full(x) for x in sent.value[1]])
         for part, texts in chunks(batches, body):
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(on_curve(reader.read(texts), curve))], [*keep, "__score"])
 
