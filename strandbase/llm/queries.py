@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality, rules, secrets, simhash, tokens, toxicity
+from . import bpe, mih, packing, quality, rules, secrets, simhash, tokens, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mih.nearest(table(spark, sf_dir, "embeddings"), k=10, every=50)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,17 +48,33 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"), least_bytes=0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scans,
         op2_token_ids,
+        op3_exact_topk,
         op4_quality_classifier,
         op5_quality_rules,
         op6_toxicity,
         op7_byte_bpe,
         op8_simhash_near_dedup,
         op9_best_fit_packing,
+        op10_warc,
     )
 }
-ORACLES: dict[str, str] = {}
+_BITS = "SELECT vec_id AS id, list_sum(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::HUGEINT << i::INT ELSE 0 END)) AS code FROM embeddings"
+
+ORACLES: dict[str, str] = {
+    "op3_exact_topk": f"""WITH c AS ({_BITS}), d AS (SELECT q.id AS query_id, c.id, bit_count(xor(q.code, c.code))::BIGINT AS distance FROM c AS q JOIN c ON q.id <> c.id WHERE q.id % 50 = 0)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank, id, distance FROM d QUALIFY rank <= 10""",
+    "op10_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM p),
+        s AS (SELECT page_id, last, octet_length(encode(html))::BIGINT AS payload_bytes, unhex(sha1(html)) AS h FROM m),
+        SELECT page_id, payload_bytes, (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0b' || substr(bits, (5 * i + 1)::INT, 5))::INT), 1), '' ORDER BY i) FROM range(32) AS r(i)) AS payload_digest,
+            CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+        FROM (SELECT *, h::BIT::VARCHAR AS bits FROM s)""",
+}
