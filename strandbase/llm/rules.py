@@ -34,6 +34,7 @@ STEPS = 3
 CUT = 50.0  # squared distance; the share of a normal sample beyond it is 4e-10 in four dimensions
 SMALL_GROUP = 200
 D = len(FEATURES)
+SALTS = 32
 
 
 def text_stats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
@@ -88,20 +89,28 @@ def _factor(est: DataFrame, floors: list[float]) -> DataFrame:
     return est.select("grp", *[f"m_{i}" for i in range(D)], *[f"l_{i}_{j}" for i in range(D) for j in range(i + 1)])
 
 
+def _beside(rows: DataFrame, small: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows with what ``small`` (one row a group) has for their group; by group and salt, so a group of any size is
+    spread over tasks and later groupings by group start from partial results."""
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", salt).join(copies, ["grp", "__salt"], how).drop("__salt")
+
+
 def mcd_estimates(rows: DataFrame) -> DataFrame:
-    """Mean and Cholesky factor for each value of ``grp`` over the columns of FEATURES; one row a group."""
+    """Mean and Cholesky factor for each value of ``grp`` over the columns of FEATURES; one row a group. doc_id only spreads."""
     names, floors = list(FEATURES), [x[1] for x in FEATURES.values()]
     middle = rows.groupBy("grp").agg(*[F.percentile_approx(c, 0.5, 10_000).alias(f"m_{i}") for i, c in enumerate(names)])
-    off = rows.join(middle, "grp").groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{i}")), 0.5, 10_000).alias(f"d_{i}") for i, c in enumerate(names)])
+    off = _beside(rows, middle).groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{i}")), 0.5, 10_000).alias(f"d_{i}") for i, c in enumerate(names)])
     est = middle.join(off, "grp")
     for i in range(D):
         for j in range(i + 1):
             est = est.withColumn(f"c_{i}_{j}", F.pow(1.4826 * F.col(f"d_{i}"), 2) if i == j else F.lit(0.0))
     est = stage(_factor(est, floors), "mcd")
     for _ in range(STEPS):
-        near = rows.join(est, "grp").select("grp", *names, _distance(names).alias("d2"))
+        near = _beside(rows, est).select("doc_id", "grp", *names, _distance(names).alias("d2"))
         cut = near.groupBy("grp").agg(F.percentile_approx("d2", KEEP, 10_000).alias("cut"))
-        half = near.join(cut, "grp").filter(F.col("d2") <= F.col("cut"))
+        half = _beside(near, cut).filter(F.col("d2") <= F.col("cut"))
         moments = [F.avg(c).alias(f"m_{i}") for i, c in enumerate(names)]
         # 1.86: the covariance of the nearest 75 % of a normal sample in four dimensions is smaller by this
         moments += [(1.86 * F.covar_pop(names[i], names[j])).alias(f"c_{i}_{j}") for i in range(D) for j in range(i + 1)]
@@ -117,8 +126,8 @@ def judge(docs: DataFrame) -> DataFrame:
     stats = stage(stats, "stats")
     named = stats.withColumn("grp", F.concat_ws("\x1f", F.coalesce("lang", F.lit("\x00")), F.coalesce("source", F.lit("\x00"))))
     sizes = named.filter(~F.col("base_failed")).groupBy("grp").count().filter(F.col("count") >= SMALL_GROUP)
-    named = named.join(sizes, "grp", "left").withColumn("grp", F.when(F.col("count").isNotNull(), F.col("grp")).otherwise("\x1fsmall")).drop("count")
+    named = _beside(named, sizes, "left").withColumn("grp", F.when(F.col("count").isNotNull(), F.col("grp")).otherwise("\x1fsmall")).drop("count")
     est = mcd_estimates(named.filter(~F.col("base_failed")))
-    out = named.join(est, "grp", "left").withColumn("distance2", _distance(list(FEATURES)))
+    out = _beside(named, est, "left").withColumn("distance2", _distance(list(FEATURES)))
     kept = ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= CUT)
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), *STATS, "base_failed", kept.alias("kept"), "distance2")
