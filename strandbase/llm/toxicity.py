@@ -32,8 +32,9 @@ from .tokens import _Index
 
 ORDER = 7
 BITS = 9  # of a character; code points from 2^9 on fold into it
-CELLS = 2_097_143  # a prime; of grams of the full order and their contexts
-FEW = 1_048_573  # a prime; of shorter grams
+# Primes far from powers of two: near one, shifted keys that differ in two letters would share a cell.
+CELLS = 2_000_003  # of grams of the full order and their contexts
+FEW = 1_000_003  # of shorter grams
 FIT_ROWS = 20_000
 LIMIT = 6.0  # of a word's evidence
 TELLING = 2.0  # evidence of a whole word that counts as telling
