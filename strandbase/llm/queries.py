@@ -67,9 +67,24 @@ QUERIES = {
         op10_warc,
     )
 }
+def _spans(rule: secrets.Rule, order: int) -> str:
+    """Matches and the pieces between them give the places; a run that is too short has no longer match inside it."""
+    p = rule.pattern.replace("'", "''")
+    places = f"SELECT doc_id, {order} AS o, '{rule.kind}' AS kind, m[i] AS m, v[i] AS v, list_sum(list_transform(g[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0) AS a"
+    return (
+        f"SELECT doc_id, o, kind, a, a + length(m) AS b FROM ({places} FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM"
+        f" (SELECT doc_id, regexp_extract_all(x, '{p}', 0) AS m, regexp_extract_all(x, '{p}', {rule.group}) AS v, string_split_regex(x, '{p}') AS g FROM t WHERE regexp_matches(x, '{p}')))) WHERE length(v) >= {rule.least}"
+    )
+
+
 _BITS = "SELECT vec_id AS id, list_sum(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::HUGEINT << i::INT ELSE 0 END)) AS code FROM embeddings"
 
 ORACLES: dict[str, str] = {
+    "op1_secret_scans": f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), f AS ({" UNION ALL ".join(_spans(r, i) for i, r in enumerate(secrets.RULES))}),
+        s AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+            string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, o) AS spans FROM f GROUP BY doc_id)
+        SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(t.x) AS blob
+        FROM t LEFT JOIN s USING (doc_id)""",
     "op3_exact_topk": f"""WITH c AS ({_BITS}), d AS (SELECT q.id AS query_id, c.id, bit_count(xor(q.code, c.code))::BIGINT AS distance FROM c AS q JOIN c ON q.id <> c.id WHERE q.id % 50 = 0)
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank, id, distance FROM d QUALIFY rank <= 10""",
     "op10_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM p),

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_chunks, commit_file, new_path
+from .common import arrow_chunks, commit_file, new_path, stage
 
 # Field lines of the ARC versions and the revisit profile of the WARC format.
 ARC_FIELDS = {
@@ -194,7 +194,7 @@ def revisits(keys: DataFrame, least_bytes: int = 0) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> int:
     """Write one WARC file a partition; the number of records."""
     body = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    refs = revisits(payload_keys(body), least_bytes)
+    refs = revisits(stage(payload_keys(body), "keys"), least_bytes)
     keyed = body.withColumn("address", F.sha2("html", 256)).join(refs, ["page_id", "address"], "left").select("page_id", "url", "html", "to_page", "to_record")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
