@@ -6,7 +6,7 @@ import json
 import re
 import time
 import uuid
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
@@ -24,6 +24,7 @@ from .language import nodes as n
 from .language import parse
 from .operators import graph, inference, placement, reading, searching
 from .plans import cost
+from .sources import changelog
 from .sources.changelog import ChangeLog
 from .sources.jsonl import read_jsonl, sidecar_text, write_jsonl
 
@@ -57,6 +58,7 @@ class Engine:
         self.together: list[list[str]] = []
         self.slow: deque[tuple[str, float]] = deque(maxlen=1000)
         self.hooks: list = []
+        self.metrics: Counter[str] = Counter()
         self.queue: dict[tuple[str, str], None] = {}
 
     # Tables from DataFrames
@@ -90,7 +92,11 @@ class Engine:
     # Statements
 
     def execute(self, text: str) -> Result:
-        return self.run(parse(text))
+        try:
+            return self.run(parse(text))
+        except E.EngineError:
+            self.metrics["errors"] += 1
+            raise
 
     def run(self, s: Any) -> Result:
         rows = self.catalog.collections[s.collection].rows if getattr(s, "collection", None) in self.catalog.collections else 0
@@ -99,6 +105,8 @@ class Engine:
             m = re.fullmatch(r"MAX_ACU\s*\(\s*([\d.]+)\s*\)", hint)
             if m and estimate > float(m[1]):
                 raise E.BudgetExceeded(estimate, float(m[1]))
+        self.metrics["statements"] += 1
+        self.metrics[type(s).__name__] += 1
         frame = getattr(self, "_" + re.sub(r"(?<!^)(?=[A-Z])", "_", type(s).__name__).lower())(s)
         if estimate >= 100:
             self.slow.append((type(s).__name__, estimate))
@@ -345,7 +353,7 @@ class Engine:
                 self._fits(c.representations[name], vector)
                 row[name] = [float(x) for x in vector]
             else:
-                row[name] = [(int(d), float(w)) for d, w in vector]
+                row[name] = [{"dim": int(d), "weight": float(w)} for d, w in vector]
         for r in c.representations.values():
             if r.fields and r.name not in row:
                 given = {f: "NULL" if row[f] is None else str(row[f]) for f in r.fields if f in row}
@@ -522,6 +530,15 @@ class Engine:
 
     # Upkeep
 
+    def recover(self) -> int:
+        """The rows of all defined collections and edge types from the change log; how many. Replaying again changes nothing."""
+        log, total = self.log.frame(), 0
+        for name, table in [*((c.name, c.table) for c in self.catalog.collections.values()), *((e.name, e.table) for e in self.catalog.edges.values())]:
+            rows = changelog.rows_of(log, name, table.schema)
+            table.replace(rows)
+            total += table.base.count()
+        return total
+
     def recompute_dirty(self, collection: str) -> int:
         """Encode anew what updates have made stale; one pass over the table. The number of rows that were due."""
         c = self.catalog.collection(collection)

@@ -74,3 +74,12 @@ def recent_after_checkpoint(log: DataFrame) -> DataFrame:
     """Rows after the last checkpoint record, as a restart replays them."""
     last = log.filter(F.col("record") == "Checkpoint").agg(F.coalesce(F.max("lsn"), F.lit(-1)).alias("from_lsn"))
     return log.join(F.broadcast(last), F.col("lsn") > F.col("from_lsn")).drop("from_lsn")  # one row
+
+
+def rows_of(log: DataFrame, collection: str, schema: T.StructType) -> DataFrame:
+    """The rows of one collection after all committed changes, with the columns of ``schema``."""
+    kept = committed(log).filter((F.col("collection") == collection) & F.col("record").isin(*WRITES, *DELETES))
+    now = latest(kept.select("key", "lsn", "tx_id", "record", "payload"), ("key",)).filter(F.col("record").isin(*WRITES))
+    rows = now.select("tx_id", F.from_json("payload", schema).alias("r")).select("tx_id", "r.*")
+    stamped = [F.coalesce(F.col("tx_time"), F.col("tx_id")).alias(c) if c == "tx_time" else F.col(f"`{c}`") for c in schema.names]
+    return rows.select(*stamped)

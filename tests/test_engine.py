@@ -312,3 +312,26 @@ def test_changes_are_folded_in(spark, tmp_path):
     run(e, "CREATE COLLECTION c (FIELD a INT);", *[f"INSERT INTO c (id, a) VALUES ('{i}', {i});" for i in range(5)], "CHECKPOINT;", "UPDATE '3' IN c SET a = 33;", "DELETE '1' FROM c;")
     assert e.catalog.collection("c").table.version == 1
     assert sorted((r["id"], r["a"]) for r in run(e, "FETCH a FROM c;").rows()) == [("0", 0), ("2", 2), ("3", 33), ("4", 4)]
+
+
+def test_recovery_from_the_log(spark, tmp_path):
+    define = ["CREATE COLLECTION c (FIELD a INT, REPRESENTATION d DIMENSIONS 2 METRIC COSINE, REPRESENTATION s SPARSE true);", "CREATE EDGE e FROM c TO c;"]
+    first = Engine(spark, folder=str(tmp_path))
+    run(first, *define, "INSERT INTO c (id, a) VALUES ('x', 1) REPRESENTATION d VECTOR [1, 0] REPRESENTATION s SPARSE [3:0.5];", "INSERT INTO c (id, a) VALUES ('y', 2);", "INSERT INTO c (id, a) VALUES ('z', 3);", "INSERT EDGE e FROM 'x' TO 'y';", "INSERT EDGE e FROM 'x' TO 'z';", "UPDATE 'y' IN c SET a = 5;", "DELETE 'z' FROM c;")
+    second = Engine(spark, folder=str(tmp_path))
+    run(second, *define)
+    for _ in range(2):
+        assert second.recover() == 3
+    assert sorted((r["id"], r["a"]) for r in run(second, "FETCH a FROM c;").rows()) == [("x", 1), ("y", 5)]
+    assert ids(run(second, "SEARCH c NEAR VECTOR [1, 0.1];")) == ["x"] == ids(run(second, "SEARCH c NEAR SPARSE [3:1.0];"))
+    assert ids(run(second, "TRAVERSE e FROM 'x';")) == ["y"]
+    assert second.metrics["Search"] == 2
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from strandbase.__main__ import main
+
+    spark.range(3).selectExpr("id", "id * 2 as v").write.parquet(str(tmp_path / "t"))
+    assert main(["--table", f"t={tmp_path}/t:id", "-e", "FETCH v FROM t WHERE v > 1 ORDER BY v; FETCH * FROM nothing;"], spark) == 1
+    out = capsys.readouterr()
+    assert '{"id": "1", "v": 2}' in out.out and "CollectionNotFound" in out.err
