@@ -13,7 +13,6 @@ from ..language import nodes as n
 from ..plans.lineage import cut
 
 MAX_HOPS = 10
-CUT_EVERY = 3
 
 
 def effective(edges: DataFrame, decay: n.DecayDecl | None, now_ms: int) -> DataFrame:
@@ -34,20 +33,24 @@ def oriented(edges: DataFrame, direction: str) -> DataFrame:
 def reach(start: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """id, _depth, _edge_confidence, _edge_type of every node within ``hops`` of the ids in ``start``, each once.
 
-    A node's edge is that of its least depth with the most confidence, of equal ones the least type. One join and one
-    grouping a hop; the seen nodes are left out by an anti-join.
+    A node's edge is that of its least depth with the most confidence, of equal ones the least type. A hop is one
+    join, one grouping and an anti-join with the nodes seen. Where more hops follow, its few new nodes are written
+    out, so that no hop is computed twice and the next join knows their size; without new nodes the walk ends.
     """
     hops = min(hops, MAX_HOPS)
-    seen = start.select("id", F.lit(0).alias("_depth"), F.lit(None).cast("double").alias("_edge_confidence"), F.lit(None).cast("string").alias("_edge_type"))
+    none = F.lit(None)
+    seen = start.select("id", F.lit(0).alias("_depth"), none.cast("double").alias("_edge_confidence"), none.cast("string").alias("_edge_type"))
     found, frontier = [], start.select("id")
     for depth in range(1, hops + 1):
         step = frontier.join(edges, frontier["id"] == edges["src"]).groupBy("dst").agg(F.min(F.struct((-F.col("confidence")).alias("less"), "edge_type")).alias("e"))
         step = step.select(F.col("dst").alias("id"), F.lit(depth).alias("_depth"), (-F.col("e.less")).alias("_edge_confidence"), F.col("e.edge_type").alias("_edge_type"))
         step = step.join(reduce(DataFrame.unionByName, [seen, *found]).select("id"), "id", "left_anti")
-        if depth % CUT_EVERY == 0 and depth < hops:
+        if depth < hops:
             step = cut(step)
         found.append(step)
         frontier = step.select("id")
+        if depth < hops and frontier.isEmpty():
+            break
     return reduce(DataFrame.unionByName, found) if found else seen.limit(0)
 
 
