@@ -498,6 +498,50 @@ def import_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.execute("FETCH name, region FROM nations;").frame
 
 
+@query("SELECT CAST(o_custkey AS VARCHAR) AS src, count(*) AS n, max(CASE WHEN o_orderkey = 3 AND o_custkey = 1 THEN 1 ELSE 0 END)::BIGINT AS made FROM (SELECT DISTINCT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey FROM orders UNION ALL SELECT 1, 3)) GROUP BY o_custkey")
+def insert_edge_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = placed(spark, sf_dir)
+    e.execute("INSERT EDGE placed FROM '1' TO '3' WITH (note = 'made') VALID FROM '2024-01-01';")
+    made = F.max(F.when((F.col("src") == "1") & (F.col("dst") == "3"), 1).otherwise(0)).cast("long")
+    return e.catalog.edge("placed").frame.groupBy("src").agg(F.count("*").alias("n"), made.alias("made"))
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS src, count(*) AS n FROM orders WHERE o_orderkey <> (SELECT min(o_orderkey) FROM orders) GROUP BY o_custkey")
+def delete_edge_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = placed(spark, sf_dir)
+    first = e.catalog.edge("placed").frame.orderBy(F.col("dst").cast("long")).first()
+    for _ in range(2):  # deleting again is no error
+        e.execute(f"DELETE EDGE placed FROM '{first.src}' TO '{first.dst}';")
+    return e.catalog.edge("placed").frame.groupBy("src").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name FROM nation")
+def backup_and_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, e = _scratch(spark), Engine(spark)
+    e.register("nations", table(spark, sf_dir, "nation").selectExpr("cast(n_nationkey as string) as id", "n_name as name"))
+    e.execute("CREATE COLLECTION again (FIELD name TEXT);")
+    e.execute(f"BACKUP TO '{path}';")
+    e.execute(f"IMPORT INTO again FROM '{path}/nations';")
+    return e.execute("FETCH name FROM again;").frame
+
+
+@query(f"WITH {VECTORS} {HITS} WHERE id NOT IN ('3', '5') ORDER BY s.score DESC, id LIMIT 10")
+def demote_leaves_hot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, vector = embeddings(spark, sf_dir)
+    e.execute("DEMOTE '3' FROM items TO ARCHIVE;")
+    e.execute("DEMOTE '5' FROM items TO WARM;")
+    e.execute("PROMOTE '5' FROM items;")  # comes back within half a step of 255
+    return scored(e.execute(f"SEARCH items WHERE id != '5' NEAR VECTOR {vector} LIMIT 10;").frame, "label")
+
+
+@query("SELECT * FROM (VALUES ('verb', 'TRAVERSE MATCH'), ('depth', '1..6'), ('estimated_acu', '18.0'), ('rules_applied', 'TraverseHopReorder')) AS t(property, value)")
+def explain_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, _ = embeddings(spark, sf_dir)
+    e.register_edges("near", "items", "items", spark.createDataFrame([], "src string, dst string"))
+    df = e.execute("EXPLAIN TRAVERSE FROM '0' MATCH (a)-[r:near]->(b) DEPTH 1..6;").frame
+    return df.filter(F.col("property").isin("verb", "depth", "estimated_acu", "rules_applied"))
+
+
 def _scratch(spark: SparkSession) -> str:
     """A new folder under the one that executors share; a temporary one where there is none."""
     return f"{(spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.gettempdir()).rstrip('/')}/strandbase-{uuid.uuid4().hex}"
