@@ -12,6 +12,7 @@ that repeat a page_id with the referred payload are responses too; an empty tabl
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -232,6 +233,28 @@ def read_archives(spark, folder: str) -> DataFrame:
     return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
+def convert_files(spark, archives: str, folder: str) -> DataFrame:
+    """Convert the ARC files (plain or gzip) of a path or glob to one WARC file each in ``folder``: file and records.
+
+    Every record is a response with its place in its file as row id; a file is one task's work and is held once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = content.as_py()
+                if data[:2] == b"\x1f\x8b":
+                    data = gzip.decompress(data)
+                records = [warc_record(arc, str(k)) for k, arc in enumerate(parse_arc(data))]
+                name = re.sub(r"(\.arc)?(\.gz)?$", "", path.rsplit("/", 1)[-1])
+                commit_file(f"{folder}/{name}-{hashlib.sha256(path.encode()).hexdigest()[:8]}.warc.gz", task.taskAttemptId(), records)
+                yield pa.RecordBatch.from_pydict({"file": [path], "records": [len(records)]})
+
+    files = spark.read.format("binaryFile").load(archives).select("path", "content")
+    return files.mapInArrow(run, "file string, records long")
+
+
 def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Pages through legacy archives into WARC files in the shared folder, and what reading these back gives."""
     spark = pages.sparkSession

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 
 import numpy as np
@@ -62,6 +63,16 @@ def test_record_ids_are_the_same_when_made_again():
     assert len(hashlib.sha1(b"").hexdigest()) == 40
 
 
+def test_archive_files_are_converted(spark, tmp_path):
+    (tmp_path / "one.arc").write_bytes(warc.write_arc(1, RECORDS))
+    (tmp_path / "two.arc.gz").write_bytes(gzip.compress(warc.write_arc(2, RECORDS[:2])))
+    done = warc.convert_files(spark, f"file://{tmp_path}/*.arc*", f"file://{tmp_path}/out").collect()
+    assert sorted(r.records for r in done) == [2, 3]
+    found = [list(warc.read_warc(memoryview(f.read_bytes()))) for f in sorted((tmp_path / "out").glob("*.warc.gz"))]
+    assert [[b for _, b in x] for x in found] == [[r[4] for r in RECORDS], [r[4] for r in RECORDS[:2]]]
+    assert found[0][0][0]["X-ARC-Version"] == "1" and found[1][0][0]["X-ARC-Version"] == "2"
+
+
 def brute(codes, queries, k):
     d = np.bitwise_count(codes[None, :] ^ queries[:, None]).astype(int)
     out = []
