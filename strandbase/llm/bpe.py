@@ -78,8 +78,8 @@ class DuckBpe:
         self.con.register("v", pa.table({"tok": pa.array(list(self.ranks.values()), pa.int32()), "bytes": [t.hex() for t in self.ranks]}))
         self.con.execute("CREATE TABLE merges AS FROM m; CREATE TABLE vocabulary AS FROM v")
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.words = WordEncoder(self.encode_words, self.findall)
-        self.chunks = WordEncoder(self._encode_chunks, spaced_words, True)
+        self.words = WordEncoder(self.encode_words, self.findall, False, 800_000, 20_000_000)
+        self.chunks = WordEncoder(self._encode_chunks, spaced_words, True, 800_000, 20_000_000)
         self.decoded: list[bytes] = []
 
     def _contract(self, word: np.ndarray, pos: np.ndarray, tok: np.ndarray, rounds: int, long: bool) -> tuple[np.ndarray, ...]:

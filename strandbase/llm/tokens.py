@@ -72,7 +72,7 @@ class WordEncoder:
     which is right where no two spaces meet and none ends the text.
     """
 
-    def __init__(self, encode_many, split, spaced: bool = False, limit: int = 800_000, chars: int = 20_000_000):
+    def __init__(self, encode_many, split, spaced: bool = False, limit: int = 350_000, chars: int = 10_000_000):
         self.encode_many, self.split, self.spaced, self.limit, self.chars = encode_many, split, spaced, limit, chars
         self._clear()
 
@@ -154,7 +154,8 @@ def word_encoder(path: str, spaced: bool) -> WordEncoder:
     alone = lambda words: [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)]
     if spaced:
         joined, between, is_end = t, "\n", t.encode("\n", add_special_tokens=False).ids
-        fits = lambda w: w != "" and "\n" not in w and not w[-1].isspace()
+        # One space at most before the word and none after it, so that no white space joins the line feed.
+        fits = lambda w: w != "" and "\n" not in w and not w[-1].isspace() and not w[w[0] == " "].isspace()
     else:
         joined, between, is_end = Tokenizer.from_file(path), " ", [i for w, i in t.get_vocab().items() if w.endswith("</w>")]
         joined.encode_special_tokens, joined.normalizer = True, None
@@ -180,7 +181,7 @@ def word_encoder(path: str, spaced: bool) -> WordEncoder:
         return whole, both
 
     if spaced:
-        return WordEncoder(encode_many, spaced_words, True)
+        return WordEncoder(encode_many, spaced_words, True, 700_000, 20_000_000)
     return WordEncoder(WordEncoder(encode_many, _bare_parts).encode, bare_words)
 
 
