@@ -86,6 +86,8 @@ def commit_file(uri: str, attempt: int, data: list[bytes]) -> None:
         from pyarrow import fs
 
         store, path = fs.FileSystem.from_uri(uri)
+        if store.get_file_info(path).type != fs.FileType.NotFound:
+            store.delete_file(path)  # of an attempt before; it holds the same
         store.move(fs.FileSystem.from_uri(part)[1], path)
 
 

@@ -38,7 +38,7 @@ def library(name):
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
-ODD = ["", " ", "  a", "a  b", "a   b ", "it's we'll ''s", "x\n\ny\n z", "\ta\r\nb", "a\x85b\xa0c", "\x1ca \x1f", "ÀÉ ßẞ İi Σς", "<|endoftext|> <|startoftext|>", "a.b,c!d", "1234 5.6", "é" * 300, "🙂 🙂🙂", "ends ", "ü̈ ", "a　b ", "_x_ #y$"]
+ODD = ["", " ", "  a", "a  b", "a   b ", "it's we'll ''s", "x\n\ny\n z", "\ta\r\nb", "a\x85b\xa0c", "\x1ca \x1f", "ÀÉ ßẞ İi Σς", "<|endoftext|> <|startoftext|>", "a.b,c!d", "1234 5.6", "é" * 300, "🙂 🙂🙂", "ends ", "ü̈ ", "a　b ", "_x_ #y$", "a \tb", "\t b", "x \r y", "a\x0b c"]
 
 
 @given(st.lists(st.text(st.characters(codec="utf-8"), max_size=40) | st.sampled_from(ODD), min_size=1, max_size=8))
