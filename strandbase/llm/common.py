@@ -9,6 +9,7 @@ import tempfile
 import types
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute
@@ -60,6 +61,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Work that is done inside hands texts to Python in batches of ``rows``, for less memory in executor and worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def open_write(uri: str):
     """A binary file for writing in any store that pyarrow knows; missing parent folders are made."""
     if "://" not in uri or uri.startswith("file:"):

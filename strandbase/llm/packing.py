@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_chunks, held_by_worker, stage, text_or_empty
+from .common import arrow_chunks, held_by_worker, small_batches, stage, text_or_empty
 from .tokens import word_encoder
 
 CAPACITY = 2048
@@ -174,7 +174,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
 def pack(cut: DataFrame, capacity: int = CAPACITY, rows_a_bucket: int = 100_000) -> DataFrame:
     """Adds sequence_id and offset to a table of pieces with a length from 1 to ``capacity``."""
     spark = cut.sparkSession
-    cut = stage(cut, "pieces")
+    with small_batches(spark):
+        cut = stage(cut, "pieces")
     counts = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # at most ``capacity`` rows
     patterns = solve(counts, capacity)
     runs = spark.sparkContext.broadcast(places(patterns))  # at most a few runs for each length and pattern

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_chunks, commit_file, held_by_worker, new_path, text_or_empty
+from .common import arrow_chunks, commit_file, held_by_worker, new_path, small_batches, text_or_empty
 
 MAGIC = b"SBTOK1\0\0"
 HEAD = "<8sIIQQ"
@@ -181,7 +181,7 @@ def word_encoder(path: str, spaced: bool) -> WordEncoder:
         return whole, both
 
     if spaced:
-        return WordEncoder(encode_many, spaced_words, True, 700_000, 20_000_000)
+        return WordEncoder(encode_many, spaced_words, True, 800_000, 20_000_000)
     return WordEncoder(WordEncoder(encode_many, _bare_parts).encode, bare_words)
 
 
@@ -258,7 +258,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return sorted(tuple(r) for r in rows.mapInArrow(run, "shard long, documents long, ids long").collect())
+    with small_batches(docs.sparkSession):
+        return sorted(tuple(r) for r in rows.mapInArrow(run, "shard long, documents long, ids long").collect())
 
 
 def read_shards(docs: DataFrame, folder: str, shards: list[tuple[int, int, int]]) -> DataFrame:
