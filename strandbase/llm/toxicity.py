@@ -4,8 +4,9 @@ For each class a model of order seven over the characters of words is made from
 that class that hold each word. Both back off to the same lower orders of continuation counts over all labelled
 documents, so that spellings that neither class knows say nothing. A word's evidence is the difference of its toxic
 and ordinary log-likelihood by its length. A document's evidence is that of all its words by their length, of its few
-most telling words, and how many of its words are telling. A logistic curve turns it into a score; it is fitted on at
-most ``FIT_ROWS`` labelled rows, each read by the counts of the half of the labelled rows that it is not in.
+most telling words, and how many of its words are telling, at several levels: stems that ordinary documents hold too
+tell by how often they come. A logistic curve turns it into a score; it is fitted on at most ``FIT_ROWS`` labelled
+rows, each read by the counts of the half of the labelled rows that it is not in.
 
 Counts cover every row one may learn from. They are kept by key modulo a prime: the tables that reach driver and
 tasks have at most ``CELLS`` entries an order, whatever the corpus; that is their proven bound.
@@ -38,6 +39,7 @@ FEW = 1_000_003  # of shorter grams
 FIT_ROWS = 20_000
 LIMIT = 6.0  # of a word's evidence
 TELLING = 2.0  # evidence of a whole word that counts as telling
+LEVELS = np.array([1.0, 2.0, 3.0, 4.0, 6.0])  # of a whole word's evidence, whose shares of words count
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _MASK = (1 << BITS) - 1
 
@@ -166,19 +168,21 @@ def word_evidence(words: list[str], pair: tuple[Level, Level], shared: list[Leve
     return np.clip(np.add.reduceat(np.log(toxic) - np.log(ordinary), np.cumsum(n) - n) / n, -LIMIT, LIMIT)
 
 
-FEATURES = 6
+FEATURES = 6 + len(LEVELS)
 
 
 def document_evidence(values: np.ndarray, sizes: np.ndarray) -> list[float]:
     """Of a document's words, by their evidence and length: two and four most telling words, mean by length, share and
-    number of telling words, and length."""
+    number of telling words, length, and the share of words over each of LEVELS, drawn to half a percent by 100 words."""
     n, total = len(values), values * sizes
     if not n:
         return [0.0] * FEATURES
     top = np.sort(np.partition(values, max(0, n - 4))[-4:])[::-1]
     sums = np.partition(total, max(0, n - 4))[-4:]
     telling = int((total > TELLING).sum())
-    return [top[:2].sum() / 2, sums.sum() / 4, total.sum() / sizes.sum() * 10, telling / n * 30, np.log1p(telling), np.log1p(n) / 3]
+    over = n - np.searchsorted(np.sort(total), LEVELS, "right")
+    shares = np.log((over + 0.5) / (n + 100) * 100)
+    return [top[:2].sum() / 2, sums.sum() / 4, total.sum() / sizes.sum() * 10, telling / n * 30, np.log1p(telling), np.log1p(n) / 3, *shares]
 
 
 class Reader:

@@ -39,6 +39,17 @@ def test_toxicity_on_held_out_documents(larger):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
 
 
+def test_repeated_stems_tell_on_held_out_documents(larger):
+    """The stems of other languages are held by ordinary documents too, but once; toxic documents repeat them."""
+    docs, labels = larger
+    langs = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    rows = toxicity.toxicity_scores(docs, labels).collect()
+    y = {r.doc_id: r.toxic for r in labels.collect()}
+    ordinary, toxic = rates(rows, y)
+    other = rates([r for r in rows if langs[r.doc_id] != "en"], y)[1]
+    assert ordinary >= 0.99 and toxic >= 0.84 and other >= 0.75
+
+
 def test_labels_of_held_out_documents_are_not_read(spark, documents):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     import pyspark.sql.functions as F
