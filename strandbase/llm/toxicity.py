@@ -8,8 +8,8 @@ most telling words, and how many of its words are telling, at several levels: st
 tell by how often they come. A logistic curve turns it into a score; it is fitted on at most ``FIT_ROWS`` labelled
 rows, each read by the counts of the half of the labelled rows that it is not in.
 
-Counts cover every row one may learn from. They are kept by key modulo a prime: the tables that reach driver and
-tasks have at most ``CELLS`` entries an order, whatever the corpus; that is their proven bound.
+Counts cover every row one may learn from and are kept for each gram by itself, whole code points told apart: the
+tables that reach driver and tasks grow with the number of different grams of the labelled documents.
 
 Defined results: null and wordless texts have no evidence (0) and a score as that gives; repeated labels of a doc_id
 count once (the largest); without rows of both labels every score is 0; an empty table gives no row.
@@ -24,7 +24,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, crc_fold, stage, text_or_empty
@@ -32,10 +32,10 @@ from .quality import _with_body, labelled
 from .tokens import _Index
 
 ORDER = 7
-BITS = 9  # of a character; code points from 2^9 on fold into it
-# Primes far from powers of two: near one, shifted keys that differ in two letters would share a cell.
-CELLS = 2_000_003  # of grams of the full order and their contexts
-FEW = 1_000_003  # of shorter grams
+BITS = 9  # of a character in a key; the next 9 are in the gram's high key, and no letter has more
+SIGNS = 1 << 2 * BITS
+# What keys are taken modulo: nothing is folded, as no key reaches it.
+CELLS = FEW = np.iinfo(np.int64).max
 FIT_ROWS = 20_000
 LIMIT = 6.0  # of a word's evidence
 TELLING = 2.0  # evidence of a whole word that counts as telling
@@ -48,17 +48,18 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all grams of the full order (starts, the letters, an end), and the number of each word's."""
+def grams(words: list[str], high: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all grams of the full order (starts, the letters, an end), and the number of each word's; of the low or
+    the high bits of the letters."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
-    codes = np.where(letters > 2, letters & _MASK, 3)
+    codes = letters >> BITS & _MASK if high else np.where(letters > 2, letters & _MASK, 3)
     begin = np.cumsum(sizes) - sizes
     at = np.arange(len(codes)) + np.repeat((ORDER) * np.arange(len(words)), sizes) + ORDER - 1
-    line = np.ones(len(codes) + ORDER * len(words), np.int64)
+    line = np.full(len(codes) + ORDER * len(words), 0 if high else 1, np.int64)
     line[at] = codes
     ends = begin + sizes + ORDER * np.arange(len(words)) + ORDER - 1
-    line[ends] = 2
+    line[ends] = 0 if high else 2
     keys = line[: len(line) - ORDER + 1].copy()
     for k in range(1, ORDER):
         keys = keys << BITS | line[k : len(line) - ORDER + 1 + k]
@@ -68,15 +69,15 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_grams(rows: DataFrame) -> DataFrame:
-    """key and the documents of each class and half (t0, t1, o0, o1) of a table with text, label and half."""
+    """key, high and the documents of each class and half (t0, t1, o0, o1) of a table with text, label and half."""
 
     def flush(counts: dict) -> pa.RecordBatch:
         words = list(counts)
-        keys, n = grams(words)
+        (keys, n), (high, _) = grams(words), grams(words, True)
         weights = np.array(list(counts.values()), np.int64).reshape(-1, 4)
-        uniq, inverse = np.unique(keys, return_inverse=True)
-        sums = [np.bincount(inverse, np.repeat(weights[:, k], n), len(uniq)).astype(np.int64) for k in range(4)]
-        return pa.RecordBatch.from_arrays([pa.array(uniq), *map(pa.array, sums)], ["key", "t0", "t1", "o0", "o1"])
+        _, at, inverse = np.unique(_ids(keys, high), return_index=True, return_inverse=True)
+        sums = [np.bincount(inverse, np.repeat(weights[:, k], n), len(at)).astype(np.int64) for k in range(4)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[at], high[at], *sums)], ["key", "high", "t0", "t1", "o0", "o1"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
@@ -93,14 +94,29 @@ def count_grams(rows: DataFrame) -> DataFrame:
         if counts:
             yield flush(counts)
 
-    found = rows.select("text", "label", "half").mapInArrow(run, "key long, t0 long, t1 long, o0 long, o1 long")
-    return found.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("t0", "t1", "o0", "o1")])
+    found = rows.select("text", "label", "half").mapInArrow(run, "key long, high long, t0 long, t1 long, o0 long, o1 long")
+    return found.groupBy("key", "high").agg(*[F.sum(c).alias(c) for c in ("t0", "t1", "o0", "o1")])
 
 
-def _by_cell(df: DataFrame, names: list[str], cells: int = FEW) -> dict[str, np.ndarray]:
-    """cell and the sums of ``names``; at most ``cells`` rows come to the driver, as arrays."""
-    got = df.groupBy((F.col("key") % cells).cast("int").alias("cell")).agg(*[F.sum(c).cast("float").alias(c) for c in names]).toArrow()
-    return {c: got.column(c).to_numpy() for c in ("cell", *names)}
+def _ids(key: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """One number of 64 bits for key and high: the key itself where high is 0, else mixed with it."""
+    if not high.any():
+        return key
+    x = high.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return key ^ (x ^ x >> np.uint64(32)).view(np.int64)
+
+
+def _spread(ids: np.ndarray) -> np.ndarray:
+    return ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _gathered(df: DataFrame, names: list[str]) -> dict[str, np.ndarray]:
+    """id and ``names`` of every gram of a table with a row for each, in the order of _spread, as arrays on the driver."""
+    got = df.select("key", "high", *[F.col(c).cast("float").alias(c) for c in names]).toArrow()
+    ids = _ids(got.column("key").to_numpy(), got.column("high").to_numpy())
+    order = np.argsort(_spread(ids))
+    return {"id": ids[order]} | {c: got.column(c).to_numpy()[order] for c in names}
 
 
 def _discount(counts: np.ndarray) -> float:
@@ -108,28 +124,52 @@ def _discount(counts: np.ndarray) -> float:
     return one / (one + 2 * two) if one and two else 0.75
 
 
-Level = tuple[np.ndarray, np.ndarray, np.ndarray]
-Thin = tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+class _Table:
+    """Where ids lie in an array of different ones in the order of _spread: a few looks by the first bits of it."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids, bits = ids, max(1, len(ids).bit_length())
+        self.shift = np.uint64(64 - bits)
+        filled = np.bincount((_spread(ids) >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.start = np.concatenate([[0], np.cumsum(filled)]).astype(np.int32)
 
+    def find(self, ids: np.ndarray) -> np.ndarray:
+        """The place of each id; -1 for an unknown one."""
+        slot = (_spread(ids) >> self.shift).astype(np.int64)
+        at, end = self.start[slot], self.start[slot + 1]
+        out, todo = np.full(len(ids), -1, np.int32), np.flatnonzero(at < end)
+        at, end = at[todo], end[todo]
+        while len(todo):
+            hit = self.ids[at] == ids[todo]
+            out[todo[hit]] = at[hit]
+            more = ~hit & (at + 1 < end)
+            todo, at, end = todo[more], at[more] + 1, end[more]
+        return out
 
-def _level(cells: int, grams_: np.ndarray, counts: np.ndarray, context_cells: int, contexts: np.ndarray, totals: np.ndarray, kinds: np.ndarray) -> Thin:
+
+Level = tuple[_Table, np.ndarray, _Table, np.ndarray, np.ndarray]
+Thin = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _level(grams_: np.ndarray, counts: np.ndarray, contexts: np.ndarray, totals: np.ndarray, kinds: np.ndarray) -> Thin:
     """max(count - D, 0) by gram; one by total, and D * kinds by total, by context; only what is not at its default."""
     d, gram, seen = _discount(counts), counts > 0, totals > 0
     by = (1 / totals[seen]).astype(np.float32)
     back = np.minimum(d * kinds[seen] * by, 1).astype(np.float32)
-    return cells, context_cells, grams_[gram], np.maximum(counts[gram] - d, 0).astype(np.float32), contexts[seen], by, back
+    return grams_[gram], np.maximum(counts[gram] - d, 0).astype(np.float32), contexts[seen], by, back
 
 
 def _full(thin: Thin) -> Level:
-    cells, context_cells, gram, less, context, by, back = thin
-    out = np.zeros(cells, np.float32), np.zeros(context_cells, np.float32), np.ones(context_cells, np.float32)
-    out[0][gram], out[1][context], out[2][context] = less, by, back
-    return out
+    """The last entry of each array is what holds for an unknown gram or context."""
+    gram, less, context, by, back = thin
+    ends = lambda x, default: np.append(x, np.float32(default))
+    return _Table(gram), ends(less, 0), _Table(context), ends(by, 0), ends(back, 1)
 
 
 def _prob(level: Level, gram: np.ndarray, context: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    less, by, back = level
-    return np.minimum(less[gram] * by[context], 1) + back[context] * lower
+    grams_, less, contexts, by, back = level
+    at = contexts.find(context)
+    return np.minimum(less[grams_.find(gram)] * by[at], 1) + back[at] * lower
 
 
 class Models:
@@ -137,33 +177,38 @@ class Models:
 
     def __init__(self, counts: DataFrame):
         halves = ["t0", "t1", "o0", "o1"]
-        five = counts.withColumn("context", F.shiftright("key", BITS))
-        c = _by_cell(five, halves, CELLS)
+        c = _gathered(counts, halves)
         seen = lambda x: F.when(x > 0, 1).otherwise(0)
         kinds = {f"k_{n}": seen(sum(F.col(x) for x in n.split("_"))) for n in ("t0_t1", "o0_o1", *halves)}
-        h = _by_cell(five.withColumns(kinds).withColumn("key", F.col("context")), [*halves, *kinds], CELLS)
-        level = lambda x: _level(CELLS, c["cell"], sum(c[k] for k in x.split("_")), CELLS, h["cell"], sum(h[k] for k in x.split("_")), h[f"k_{x}"])
+        names = [*halves, *kinds]
+        h = _gathered(counts.withColumns(kinds).groupBy(*_context()).agg(*[F.sum(x).alias(x) for x in names]), names)
+        level = lambda x: _level(c["id"], sum(c[k] for k in x.split("_")), h["id"], sum(h[k] for k in x.split("_")), h[f"k_{x}"])
         self.all = (level("t0_t1"), level("o0_o1"))
         self.without = [(level("t1"), level("o1")), (level("t0"), level("o0"))]
         del c, h
         self.shared, below = [], counts
         for order in range(ORDER - 1, 0, -1):  # each gram counts the different characters before it
-            below = below.groupBy(F.col("key").bitwiseAND((1 << BITS * order) - 1).alias("key")).agg(F.count("*").alias("n"))
-            context = below.select(F.shiftright("key", BITS).alias("key"), "n", F.lit(1).alias("kinds"))
-            g, k = _by_cell(below, ["n"]), _by_cell(context, ["n", "kinds"])
-            self.shared.append(_level(FEW, g["cell"], g["n"], FEW, k["cell"], k["n"], k["kinds"]))
+            last = (1 << BITS * order) - 1
+            below = below.groupBy(*[F.col(k).bitwiseAND(last).alias(k) for k in ("key", "high")]).agg(F.count("*").alias("n"))
+            g = _gathered(below, ["n"])
+            k = _gathered(below.groupBy(*_context()).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")), ["n", "kinds"])
+            self.shared.append(_level(g["id"], g["n"], k["id"], k["n"], k["kinds"]))
+
+
+def _context() -> list[Column]:
+    return [F.shiftright(k, BITS).alias(k) for k in ("key", "high")]
 
 
 def word_evidence(words: list[str], pair: tuple[Level, Level], shared: list[Level]) -> np.ndarray:
     """Toxic less ordinary log-likelihood of each word by its length."""
-    keys, n = grams(words)
+    (keys, n), (high, _) = grams(words), grams(words, True)
     if not len(keys):
         return np.zeros(len(words))
-    p = np.full(len(keys), 1 / (1 << BITS))
+    p = np.full(len(keys), 1 / SIGNS)
     for order, level in zip(range(1, ORDER), shared[::-1]):
-        key = keys & ((1 << BITS * order) - 1)
-        p = _prob(level, key % FEW, (key >> BITS) % FEW, p)
-    gram, context = keys % CELLS, (keys >> BITS) % CELLS
+        key, up = (x & ((1 << BITS * order) - 1) for x in (keys, high))
+        p = _prob(level, _ids(key, up), _ids(key >> BITS, up >> BITS), p)
+    gram, context = _ids(keys, high), _ids(keys >> BITS, high >> BITS)
     toxic, ordinary = (_prob(level, gram, context, p) for level in pair)
     return np.clip(np.add.reduceat(np.log(toxic) - np.log(ordinary), np.cumsum(n) - n) / n, -LIMIT, LIMIT)
 
@@ -246,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, column: st
     if not ends[0] or not ends[1]:
         return Scorer(None)
     models = Models(counts)
-    sent = docs.sparkSession.sparkContext.broadcast((models.without, models.shared))  # at most CELLS and FEW entries an order
+    sent = docs.sparkSession.sparkContext.broadcast((models.without, models.shared))  # an entry for each different gram of the labelled rows
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

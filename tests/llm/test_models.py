@@ -109,6 +109,27 @@ def test_probabilities_sum_to_one(spark):
             assert toxicity._prob(level, keys % toxicity.CELLS, (keys >> toxicity.BITS) % toxicity.CELLS, p).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_every_gram_is_counted_by_itself(spark):
+    """Letters that agree in their low bits are different letters, and no two grams share a count."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(map(chr, rng.choice([*range(97, 123), *range(0x4E00, 0x9000), *range(0xAC00, 0xD7A0), *range(0x20000, 0x2A6D0)], 6)))
+    words = [word() for _ in range(3000)] + ["\u4e2d\u6587", "\u502d\u6787"]
+    assert ord("\u4e2d") & 511 == ord("\u502d") & 511
+    df = spark.createDataFrame([(i, " ".join(words[i::4]), i % 2, i // 2) for i in range(4)], "doc_id long, text string, label int, half int")
+    got = {(r.key, r.high): (r.t0, r.t1, r.o0, r.o1) for r in toxicity.count_grams(df).collect()}
+    right: dict = {}
+    for i in range(4):
+        for w in {x for x in toxicity.words_of(" ".join(words[i::4]))}:
+            line = "\1" * 6 + w + "\2"
+            for k in range(len(w) + 1):
+                right.setdefault(line[k : k + 7], [0] * 4)[(0 if i % 2 else 2) + i // 2] += 1
+    assert sorted(got.values()) == sorted(map(tuple, right.values()))
+    table, ids = toxicity.Models(toxicity.count_grams(df)).all[0][0], {toxicity._ids(np.array([k]), np.array([h]))[0] for k, h in got}
+    assert len(ids) == len(right) and set(table) == {toxicity._ids(np.array([k]), np.array([h]))[0] for (k, h), n in got.items() if n[0] + n[1]}
+    at = toxicity._Table(table).find(np.append(table, [12345]))
+    assert at.tolist() == [*range(len(table)), -1]
+
+
 def test_unknown_spellings_say_nothing(spark):
     df = spark.createDataFrame([(1, "vile rotten vile", 1, 0), (2, "fair kind words", 0, 0), (3, "vile rotten", 1, 1), (4, "fair kind", 0, 1)], "doc_id long, text string, label int, half int")
     m = toxicity.Models(toxicity.count_grams(df))
