@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -71,6 +73,13 @@ def nearest_targets(sources: Sequence[tuple[str, Sequence[float]]], targets: Dat
     return near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit).drop("n")
 
 
+def sweep(sources: DataFrame, targets: DataFrame, vector: str, existing: DataFrame, limit: int, at_least: float) -> DataFrame:
+    """nearest_targets of every row of ``sources``, in batches of at most BATCH; the driver holds one partition of them."""
+    rows = ((r[0], r[1]) for r in clean_only(sources, vector).filter(F.col(vector).isNotNull()).select("id", vector).toLocalIterator())
+    parts = [nearest_targets(batch, targets, vector, existing, limit, at_least) for batch in iter(lambda: list(islice(rows, BATCH)), [])]
+    return reduce(DataFrame.unionByName, parts) if parts else nearest_targets([], targets, vector, existing, limit, at_least)
+
+
 def decay_sweep(edges: DataFrame, decay: n.DecayDecl | None, now_ms: int) -> DataFrame:
     """The edges that stay: inferred ones go once their decayed confidence is below the prune threshold."""
     if decay is None or decay.prune is None:

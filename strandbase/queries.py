@@ -409,6 +409,14 @@ def auto_infer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.withColumn("confidence", F.round("confidence", 5))
 
 
+@query(ORACLES["auto_infer_batch"].replace("a.vec_id < 20 AND ", ""))
+def auto_infer_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all embeddings, as auto_infer_batch is of the first twenty."""
+    items = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding")
+    near = inference.sweep(items, items, "embedding", spark.createDataFrame([], "src string, dst string"), 3, 0.15)
+    return near.withColumn("confidence", F.round("confidence", 5))
+
+
 @query(f"WITH {FOLLOW}, k AS (SELECT *, CASE WHEN length(src) % 2 = 0 THEN 'Inferred' ELSE 'Confirmed' END AS source FROM e) SELECT src, dst, source FROM k WHERE NOT (source = 'Inferred' AND {DECAYED['exponential']} < 0.3)")
 def decay_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = follow(spark, sf_dir).catalog.edge("follows").frame.withColumn("source", F.when(F.length("src") % 2 == 0, "Inferred").otherwise("Confirmed"))
