@@ -61,6 +61,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as it is read; where the scan has fewer splits than there are cores, dealt out evenly over all of them.
+
+    Of a small table one shuffle; a large one has splits enough and is left alone.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
     """Work that is done inside hands texts to Python in batches of ``rows``, for less memory in executor and worker."""

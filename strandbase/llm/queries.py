@@ -6,18 +6,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, mih, packing, quality, rules, secrets, simhash, tokens, toxicity, warc
+from .common import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table with texts, spread over all cores."""
+    return spread(table(spark, sf_dir, name))
+
+
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_digest(table(spark, sf_dir, "documents"))
+    return secrets.secret_digest(texts(spark, sf_dir))
 
 
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return tokens.token_ids(texts(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,31 +31,31 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.quality_scores(texts(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.judge(table(spark, sf_dir, "documents"))
+    return rules.judge(texts(spark, sf_dir))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.toxicity_scores(texts(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encode_decode(texts(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.simhash_digest(table(spark, sf_dir, "documents"))
+    return simhash.simhash_digest(texts(spark, sf_dir))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return packing.pack_documents(texts(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_pages(table(spark, sf_dir, "pages"), least_bytes=0)
+    return warc.archive_pages(texts(spark, sf_dir, "pages"), least_bytes=0)
 
 
 QUERIES = {
@@ -67,6 +73,8 @@ QUERIES = {
         op10_warc,
     )
 }
+
+
 def _spans(rule: secrets.Rule, order: int) -> str:
     """Matches and the pieces between them give the places; a run that is too short has no longer match inside it."""
     p = rule.pattern.replace("'", "''")

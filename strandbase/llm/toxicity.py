@@ -6,24 +6,27 @@ documents, so that spellings that neither class knows say nothing. A word's evid
 and ordinary log-likelihood by its length. A document's evidence is that of all its words by their length, of its few
 most telling words, and how many of its words are telling, at several levels: stems that ordinary documents hold too
 tell by how often they come. A logistic curve turns it into a score; it is fitted on at most ``FIT_ROWS`` labelled
-rows, each read by the counts of the half of the labelled rows that it is not in.
+documents, each read by the counts of all the others: its own are taken off the models of its class first.
 
-Counts cover every row one may learn from and are kept for each gram by itself, whole code points told apart: the
-tables that reach driver and tasks grow with the number of different grams of the labelled documents.
+Words are runs of letters, digits and underscores of any length. Counts cover every row one may learn from and are
+kept for each gram by itself, whole code points told apart: the tables that reach driver and tasks grow with the
+number of different grams of the labelled documents. They are sent once, for the fit and the scores.
 
 Defined results: null and wordless texts have no evidence (0) and a score as that gives; repeated labels of a doc_id
-count once (the largest); without rows of both labels every score is 0; an empty table gives no row.
+count once (the largest); of rows with one doc_id the curve is fitted on the least text; without rows of both labels
+every score is 0; an empty table gives no row.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +37,11 @@ from .tokens import _Index
 ORDER = 7
 BITS = 9  # of a character in a key; the next 9 are in the gram's high key, and no letter has more
 SIGNS = 1 << 2 * BITS
-# What keys are taken modulo: nothing is folded, as no key reaches it.
-CELLS = FEW = np.iinfo(np.int64).max
 FIT_ROWS = 20_000
 LIMIT = 6.0  # of a word's evidence
 TELLING = 2.0  # evidence of a whole word that counts as telling
-LEVELS = np.array([1.0, 2.0, 3.0, 4.0, 6.0])  # of a whole word's evidence, whose shares of words count
-_WORD = re.compile(r"[^\W\d_]{2,}")
+LEVELS = np.array([1.0, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0, 6.0])  # of a whole word's evidence, whose shares of words count
+_WORD = re.compile(r"\w+")
 _MASK = (1 << BITS) - 1
 
 
@@ -69,33 +70,32 @@ def grams(words: list[str], high: bool = False) -> tuple[np.ndarray, np.ndarray]
 
 
 def count_grams(rows: DataFrame) -> DataFrame:
-    """key, high and the documents of each class and half (t0, t1, o0, o1) of a table with text, label and half."""
+    """key, high and the toxic and ordinary documents (t, o) of each gram, of a table with text and label."""
 
     def flush(counts: dict) -> pa.RecordBatch:
         words = list(counts)
         (keys, n), (high, _) = grams(words), grams(words, True)
-        weights = np.array(list(counts.values()), np.int64).reshape(-1, 4)
+        weights = np.array(list(counts.values()), np.int64).reshape(-1, 2)
         _, at, inverse = np.unique(_ids(keys, high), return_index=True, return_inverse=True)
-        sums = [np.bincount(inverse, np.repeat(weights[:, k], n), len(at)).astype(np.int64) for k in range(4)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[at], high[at], *sums)], ["key", "high", "t0", "t1", "o0", "o1"])
+        sums = [np.bincount(inverse, np.repeat(weights[:, k], n), len(at)).astype(np.int64) for k in range(2)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[at], high[at], *sums)], ["key", "high", "t", "o"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
         for part, texts in chunks(batches):
-            for text, label, half in zip(texts, part.column("label").to_pylist(), part.column("half").to_pylist()):
-                k = half if label == 1 else 2 + half
+            for text, label in zip(texts, part.column("label").to_pylist()):
                 for w in set(words_of(text)):
                     if w not in counts:
-                        counts[w] = [0, 0, 0, 0]
-                    counts[w][k] += 1
+                        counts[w] = [0, 0]
+                    counts[w][label != 1] += 1
             if len(counts) > 300_000:
                 yield flush(counts)
                 counts = {}
         if counts:
             yield flush(counts)
 
-    found = rows.select("text", "label", "half").mapInArrow(run, "key long, high long, t0 long, t1 long, o0 long, o1 long")
-    return found.groupBy("key", "high").agg(*[F.sum(c).alias(c) for c in ("t0", "t1", "o0", "o1")])
+    found = rows.select("text", "label").mapInArrow(run, "key long, high long, t long, o long")
+    return found.groupBy("key", "high").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
 
 def _ids(key: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -159,11 +159,9 @@ def _level(grams_: np.ndarray, counts: np.ndarray, contexts: np.ndarray, totals:
     return grams_[gram], np.maximum(counts[gram] - d, 0).astype(np.float32), contexts[seen], by, back
 
 
-def _full(thin: Thin) -> Level:
-    """The last entry of each array is what holds for an unknown gram or context."""
-    gram, less, context, by, back = thin
-    ends = lambda x, default: np.append(x, np.float32(default))
-    return _Table(gram), ends(less, 0), _Table(context), ends(by, 0), ends(back, 1)
+def _end(x: np.ndarray, default: float) -> np.ndarray:
+    """The last entry is what holds for an unknown gram or context."""
+    return np.append(x, np.float32(default))
 
 
 def _prob(level: Level, gram: np.ndarray, context: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -172,19 +170,48 @@ def _prob(level: Level, gram: np.ndarray, context: np.ndarray, lower: np.ndarray
     return np.minimum(less[grams_.find(gram)] * by[at], 1) + back[at] * lower
 
 
+class Class:
+    """One class's model of the full order by its counts, so that a document's own can be taken off."""
+
+    def __init__(self, grams_: np.ndarray, counts: np.ndarray, contexts: np.ndarray, totals: np.ndarray, kinds: np.ndarray):
+        gram, seen = counts > 0, totals > 0
+        self.discount = _discount(counts)
+        self.grams, self.counts = grams_[gram], counts[gram].astype(np.float32)
+        self.contexts, self.totals, self.kinds = contexts[seen], totals[seen].astype(np.float32), kinds[seen].astype(np.float32)
+
+    def opened(self) -> Class:
+        """With the tables that find ids."""
+        out = object.__new__(Class)
+        out.discount, out.grams, out.contexts = self.discount, _Table(self.grams), _Table(self.contexts)
+        out.counts, out.totals, out.kinds = (_end(x, 0) for x in (self.counts, self.totals, self.kinds))
+        return out
+
+    def prob(self, gram: np.ndarray, context: np.ndarray, lower: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+        """Of each gram; ``own`` has the document of each whose counts are to be left out, -1 for none."""
+        count, at = self.counts[self.grams.find(gram)], self.contexts.find(context)
+        total, kinds = self.totals[at], self.kinds[at]
+        if own is not None:
+            mine = own >= 0
+            mixed = _spread(own + 1)
+            _, first, of = np.unique(_spread(gram) ^ mixed, return_index=True, return_inverse=True)
+            count = np.maximum(count - np.where(mine, np.bincount(of)[of], 0), 0)
+            gone = np.zeros(len(gram), bool)  # grams that no other document has
+            gone[first] = True
+            _, of = np.unique(_spread(context) ^ mixed, return_inverse=True)
+            kinds = np.maximum(kinds - np.where(mine, np.bincount(of, gone & (count <= 0))[of], 0), 0)
+            total = np.maximum(total - np.where(mine, np.bincount(of)[of], 0), 0)
+        share = np.maximum(count - self.discount, 0) / np.maximum(total, 1)
+        return np.where(total > 0, np.minimum(share, 1) + np.minimum(self.discount * kinds / np.maximum(total, 1), 1) * lower, lower)
+
+
 class Models:
-    """The two classes' models (for all rows, and without either half) over the shared lower orders, as thin levels."""
+    """The two classes' models over the shared lower orders, as arrays on the driver."""
 
     def __init__(self, counts: DataFrame):
-        halves = ["t0", "t1", "o0", "o1"]
-        c = _gathered(counts, halves)
-        seen = lambda x: F.when(x > 0, 1).otherwise(0)
-        kinds = {f"k_{n}": seen(sum(F.col(x) for x in n.split("_"))) for n in ("t0_t1", "o0_o1", *halves)}
-        names = [*halves, *kinds]
-        h = _gathered(counts.withColumns(kinds).groupBy(*_context()).agg(*[F.sum(x).alias(x) for x in names]), names)
-        level = lambda x: _level(c["id"], sum(c[k] for k in x.split("_")), h["id"], sum(h[k] for k in x.split("_")), h[f"k_{x}"])
-        self.all = (level("t0_t1"), level("o0_o1"))
-        self.without = [(level("t1"), level("o1")), (level("t0"), level("o0"))]
+        c = _gathered(counts, ["t", "o"])
+        seen = lambda x: F.when(F.col(x) > 0, 1).otherwise(0)
+        h = _gathered(counts.groupBy(*_context()).agg(*[F.sum(x).alias(x) for x in ("t", "o")], *[F.sum(seen(x)).alias(f"k_{x}") for x in ("t", "o")]), ["t", "o", "k_t", "k_o"])
+        self.classes = tuple(Class(c["id"], c[x], h["id"], h[x], h[f"k_{x}"]) for x in ("t", "o"))
         del c, h
         self.shared, below = [], counts
         for order in range(ORDER - 1, 0, -1):  # each gram counts the different characters before it
@@ -199,18 +226,27 @@ def _context() -> list[Column]:
     return [F.shiftright(k, BITS).alias(k) for k in ("key", "high")]
 
 
-def word_evidence(words: list[str], pair: tuple[Level, Level], shared: list[Level]) -> np.ndarray:
-    """Toxic less ordinary log-likelihood of each word by its length."""
-    (keys, n), (high, _) = grams(words), grams(words, True)
-    if not len(keys):
-        return np.zeros(len(words))
-    p = np.full(len(keys), 1 / SIGNS)
-    for order, level in zip(range(1, ORDER), shared[::-1]):
-        key, up = (x & ((1 << BITS * order) - 1) for x in (keys, high))
-        p = _prob(level, _ids(key, up), _ids(key >> BITS, up >> BITS), p)
-    gram, context = _ids(keys, high), _ids(keys >> BITS, high >> BITS)
-    toxic, ordinary = (_prob(level, gram, context, p) for level in pair)
-    return np.clip(np.add.reduceat(np.log(toxic) - np.log(ordinary), np.cumsum(n) - n) / n, -LIMIT, LIMIT)
+class Judge:
+    """Evidence of words by the models, in a task."""
+
+    def __init__(self, models: Models):
+        self.classes = [c.opened() for c in models.classes]
+        self.shared = [(_Table(g), _end(less, 0), _Table(h), _end(by, 0), _end(back, 1)) for g, less, h, by, back in models.shared]
+
+    def __call__(self, words: list[str], docs: np.ndarray | None = None, toxic: np.ndarray | None = None) -> np.ndarray:
+        """Toxic less ordinary log-likelihood of each word by its length; where ``docs`` and ``toxic`` tell the document
+        of each word and its class, without what that document added to its class."""
+        (keys, n), (high, _) = grams(words), grams(words, True)
+        if not len(keys):
+            return np.zeros(len(words))
+        p = np.full(len(keys), 1 / SIGNS)
+        for order, level in zip(range(1, ORDER), self.shared[::-1]):
+            key, up = (x & ((1 << BITS * order) - 1) for x in (keys, high))
+            p = _prob(level, _ids(key, up), _ids(key >> BITS, up >> BITS), p)
+        gram, context = _ids(keys, high), _ids(keys >> BITS, high >> BITS)
+        own = lambda k: None if docs is None else np.repeat(np.where(toxic == k, docs, -1), n)
+        a, b = (c.prob(gram, context, p, own(k)) for c, k in zip(self.classes, (True, False)))
+        return np.clip(np.add.reduceat(np.log(a) - np.log(b), np.cumsum(n) - n) / n, -LIMIT, LIMIT)
 
 
 FEATURES = 6 + len(LEVELS)
@@ -233,8 +269,8 @@ def document_evidence(values: np.ndarray, sizes: np.ndarray) -> list[float]:
 class Reader:
     """Evidence of documents, each different word judged once while it is held."""
 
-    def __init__(self, pair: tuple[Level, Level], shared: list[Level], limit: int = 300_000):
-        self.pair, self.shared, self.limit = pair, shared, limit
+    def __init__(self, judge: Judge, limit: int = 300_000):
+        self.judge, self.limit = judge, limit
         self._clear()
 
     def _clear(self) -> None:
@@ -248,12 +284,24 @@ class Reader:
         n = np.fromiter(map(len, words), np.int64, len(words))
         at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
         if new := self.index.new:
-            self.known = np.concatenate([self.known, word_evidence(new, self.pair, self.shared)])
+            self.known = np.concatenate([self.known, self.judge(new)])
             self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, new), float, len(new)) + 1])
             self.index.new = []
-        ends = np.cumsum(n)
-        values, sizes = self.known[at], self.sizes[at]
-        return np.array([document_evidence(values[a:b], sizes[a:b]) for a, b in zip((ends - n).tolist(), ends.tolist())]).reshape(-1, FEATURES)
+        return _by_document(self.known[at], self.sizes[at], n)
+
+
+def _by_document(values: np.ndarray, sizes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(n)
+    return np.array([document_evidence(values[a:b], sizes[a:b]) for a, b in zip((ends - n).tolist(), ends.tolist())]).reshape(-1, FEATURES)
+
+
+def read_labelled(judge: Judge, texts: list[str], toxic: np.ndarray) -> np.ndarray:
+    """A row of FEATURES for each text that the models were made with, as if they were made without it."""
+    words = [Counter(words_of(t)) for t in texts]
+    n, flat = np.fromiter(map(len, words), np.int64, len(words)), list(chain.from_iterable(words))
+    doc, times = np.repeat(np.arange(len(words)), n), np.fromiter(chain.from_iterable(c.values() for c in words), np.int64, len(flat))
+    values, sizes = judge(flat, doc, toxic[doc]), np.fromiter(map(len, flat), float, len(flat)) + 1
+    return _by_document(np.repeat(values, times), np.repeat(sizes, times), np.bincount(doc, times, len(words)).astype(np.int64))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[np.ndarray, float]:
@@ -272,8 +320,10 @@ def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[np.ndarray
 
 
 class Scorer:
-    def __init__(self, models: Models | None, curve: tuple[np.ndarray, float] | None = None):
-        self.models, self.curve = models, curve
+    """The models as they were sent to all tasks, and the curve."""
+
+    def __init__(self, sent: Broadcast | None, curve: tuple[np.ndarray, float] | None = None):
+        self.sent, self.curve = sent, curve
 
 
 def on_curve(evidence: np.ndarray, curve: tuple[np.ndarray, float]) -> np.ndarray:
@@ -282,42 +332,35 @@ def on_curve(evidence: np.ndarray, curve: tuple[np.ndarray, float]) -> np.ndarra
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, column: str = "toxic", modulus: int = 5, held_out: int = 0) -> Scorer:
     known = labelled(labels, column, modulus, held_out)
-    half = F.pmod(F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / modulus), F.lit(2)).cast("int")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
     # Always the same join: labels grow with the corpus and are no table to broadcast.
-    rows = text.join(known.hint("shuffle_hash"), "doc_id").withColumn("half", half)
-    counts = stage(count_grams(rows), "grams")
-    ends = counts.agg(F.sum(F.col("t0") + F.col("t1")), F.sum(F.col("o0") + F.col("o1"))).first()
+    counts = stage(count_grams(text.join(known.hint("shuffle_hash"), "doc_id")), "grams")
+    ends = counts.agg(F.sum("t"), F.sum("o")).first()
     if not ends[0] or not ends[1]:
         return Scorer(None)
-    models = Models(counts)
-    sent = docs.sparkSession.sparkContext.broadcast((models.without, models.shared))  # an entry for each different gram of the labelled rows
+    sent = docs.sparkSession.sparkContext.broadcast(Models(counts))  # an entry for each different gram of the labelled rows
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lower = [_full(x) for x in sent.value[1]]
-        readers = [Reader(tuple(map(_full, pair)), lower) for pair in sent.value[0]]
+        judge = Judge(sent.value)
         for part, texts in chunks(batches):
-            half_ = part.column("half").to_numpy()
-            both = np.array([r.read(texts) for r in readers])[half_, np.arange(len(half_))]
-            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(both.tolist(), pa.list_(pa.float64()))], ["label", "x"])
+            x = read_labelled(judge, texts, part.column("label").to_numpy() == 1)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
-    marked = text.join(F.broadcast(sample), "doc_id").select("text", "label", half.alias("half"))
-    got: pd.DataFrame = marked.mapInArrow(run, "label int, x array<double>").limit(2 * fit_rows).toPandas()
-    sent.destroy()
-    models.without = []
-    return Scorer(models, fit_curve(np.array(got["x"].tolist()), got["label"].to_numpy().astype(float)))
+    marked = text.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # at most fit_rows
+    got = marked.mapInArrow(run, "doc_id long, label int, x array<double>").toPandas().sort_values("doc_id")
+    return Scorer(sent, fit_curve(np.array(got["x"].tolist()).reshape(-1, FEATURES), got["label"].to_numpy().astype(float)))
 
 
 def score(docs: DataFrame, scorer: Scorer, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of the input and __score of each document."""
     rows, body, types = _with_body(docs, keep), "text" if "text" in keep else "__text", dict(docs.dtypes)
-    if scorer.models is None:
+    if scorer.sent is None:
         return rows.select(*keep, F.lit(0.0).alias("__score"))
-    sent, curve = docs.sparkSession.sparkContext.broadcast((scorer.models.all, scorer.models.shared)), scorer.curve
+    sent, curve = scorer.sent, scorer.curve
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(tuple(map(_full, sent.value[0])), [_full(x) for x in sent.value[1]])
+        reader = Reader(Judge(sent.value))
         for part, texts in chunks(batches, body):
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(on_curve(reader.read(texts), curve))], [*keep, "__score"])
 
