@@ -78,9 +78,8 @@ class DuckBpe:
         self.con.register("v", pa.table({"tok": pa.array(list(self.ranks.values()), pa.int32()), "bytes": [t.hex() for t in self.ranks]}))
         self.con.execute("CREATE TABLE merges AS FROM m; CREATE TABLE vocabulary AS FROM v")
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.words = WordEncoder(self.encode_words, self.findall, False, 800_000, 20_000_000)
-        self.chunks = WordEncoder(self._encode_chunks, spaced_words, True, 800_000, 20_000_000)
-        self.decoded: list[bytes] = []
+        self.words = WordEncoder(lambda words: [self.encode_words(words.to_pylist())], self.findall, limit=1_000_000, held=40_000_000)
+        self.chunks = WordEncoder(self._encode_chunks, spaced_words, True, 1_000_000, 40_000_000)
 
     def _contract(self, word: np.ndarray, pos: np.ndarray, tok: np.ndarray, rounds: int, long: bool) -> tuple[np.ndarray, ...]:
         self.con.register("start", pa.table({"word": word, "pos": pos, "tok": tok}))
@@ -119,12 +118,11 @@ class DuckBpe:
         order = np.lexsort((pos, word))
         return tok[order].astype(np.uint32), np.bincount(word, minlength=len(words))
 
-    def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids, sizes = self.words.encode(chunks)
-        if not len(self.chunks.flat):
-            self.decoded = []
-        self.decoded += self.decode(ids, sizes)
-        return ids, sizes
+    def _encode_chunks(self, chunks: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids, and the bytes that they decode to."""
+        ids, sizes = self.words.encode(chunks.to_pylist())
+        back = self.decode(ids, sizes)
+        return [(ids, sizes), (np.frombuffer(b"".join(back), np.uint8), np.array([len(x) for x in back], np.int64))]
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         """The bytes of each stretch of ids."""
@@ -141,15 +139,10 @@ class DuckBpe:
 
     def read(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, bytes]]:
         """Ids and decoded bytes of each text."""
-        at, per_text = self.chunks.locate(texts)
-        starts, sizes, flat = self.chunks.starts[at], self.chunks.sizes[at], self.chunks.flat
-        ends = np.cumsum(sizes)
-        ids = flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)].astype("<u4")
-        edges, total = np.concatenate([[0], np.cumsum(per_text)]).tolist(), np.concatenate([[0], ends])
-        cut = total[edges].tolist()
-        places = at.tolist()
-        for k in range(len(per_text)):
-            yield ids[cut[k] : cut[k + 1]], b"".join([self.decoded[i] for i in places[edges[k] : edges[k + 1]]])
+        (ids, n), (back, size) = self.chunks.encode_all(texts)
+        ids, ends, bounds = ids.astype("<u4"), np.cumsum(n).tolist(), np.cumsum(size).tolist()
+        for i, j, a, b in zip([0, *ends], ends, [0, *bounds], bounds):
+            yield ids[i:j], back[a:b].tobytes()
 
 
 def _groups(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:

@@ -14,12 +14,13 @@ comes back as null; repeated doc_ids stay separate documents; an empty table giv
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
-from itertools import chain, compress
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,15 @@ NULL_ID = -(2**63)
 #: White space as the tokenizers' expressions have it (str.isspace has U+001C to U+001F besides).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _ODD = re.compile("[\x1c-\x1f]")
-_PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xde\xe0-\xf6\xf8-\xff]+)([.,;:!?*$%&#|]*)")
-_PART = re.compile(r"[a-z\xdf\xe0-\xf6\xf8-\xff]+|[.,;:!?*$%&#|]+")
 _BARE = re.compile(rf"[^{SPACE}]+")
 _LEADING = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: Fixed value: how byte-level tokenizers of this kind cut a text.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Words that are encoded many in one string: spaced ones of letters whose kinds no Unicode version disputes, bare ones
+#: of Latin letters with punctuation after them (no letter of these is changed by normalisation but to lower case).
+_JOINED_SPACED = r"^ ?[!-~\x{a1}-\x{24f}\x{400}-\x{523}\x{3041}-\x{3096}\x{30a1}-\x{30fa}\x{4e00}-\x{9fa5}\x{ac00}-\x{d7a3}]+$"
+_MARKS = ".,;:!?*$%&#|"
+_JOINED_BARE = rf"^[A-Za-z\x{{c0}}-\x{{d6}}\x{{d8}}-\x{{f6}}\x{{f8}}-\x{{ff}}]+[{_MARKS}]*$"
 
 
 def bare_words(text: str) -> list[str]:
@@ -65,43 +71,72 @@ class _Index(dict):
 
 
 class WordEncoder:
-    """Encodes texts word by word, each different word once; holds at most ``limit`` words and ``chars`` characters.
+    """Encodes texts word by word. Words that were met before are looked up by Arrow; it holds at most ``limit`` words
+    and ``held`` bytes of them, and lets the least used go.
 
     ``split`` cuts one text into words. Most texts are cut by Arrow instead: for bare words at ASCII white space
     (what other white space is left in a word, the tokenizer drops itself), for spaced words before each space,
-    which is right where no two spaces meet and none ends the text.
+    which is right where no two spaces meet and none ends the text. ``encode_new`` has of different words the ids one
+    after another and the number of each word's; more such pairs may follow, and are kept beside the ids.
     """
 
-    def __init__(self, encode_many, split, spaced: bool = False, limit: int = 350_000, chars: int = 10_000_000):
-        self.encode_many, self.split, self.spaced, self.limit, self.chars = encode_many, split, spaced, limit, chars
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index, self.held = _Index(), 0
-        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def _at(self, words, n: int) -> np.ndarray:
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, n)
+    def __init__(self, encode_new: Callable[[pa.Array], list[tuple[np.ndarray, np.ndarray]]], split, spaced: bool = False, limit: int = 400_000, held: int = 16_000_000):
+        self.encode_new, self.split, self.spaced, self.limit, self.held = encode_new, split, spaced, limit, held
+        self.words, self.hits = pa.array([], pa.string()), np.zeros(0, np.int64)
+        self.kept: list[list[np.ndarray]] = []  # starts, sizes and values of the words
+
+    def _trim(self) -> None:
+        """Keep the half that was met most often."""
+        keep = np.sort(np.argsort(-self.hits, kind="stable")[: min(len(self.hits), self.limit) // 2])
+        if self.words.nbytes > 4 * self.held:  # very long words
+            keep = keep[:0]
+        for k in self.kept:
+            starts, sizes, values = k
+            k[:] = np.cumsum(sizes[keep]) - sizes[keep], sizes[keep], values[_ranges(starts[keep], sizes[keep])]
+        self.words, self.hits = self.words.take(pa.array(keep)), self.hits[keep] // 2
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where what is kept of different words lies."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        unknown = at < 0
+        if unknown.any() or not self.kept:
+            new = words.filter(pa.array(unknown))
+            for i, (values, sizes) in enumerate(self.encode_new(new)):
+                if i == len(self.kept):
+                    self.kept.append([np.zeros(0, np.int64), np.zeros(0, np.int64), values[:0]])
+                k = self.kept[i]
+                k[:] = np.concatenate([k[0], len(k[2]) + np.cumsum(sizes) - sizes]), np.concatenate([k[1], sizes]), np.concatenate([k[2], values])
+            at[unknown] = len(self.words) + np.arange(len(new))
+            self.words, self.hits = pa.concat_arrays([self.words, new]), np.concatenate([self.hits, np.zeros(len(new), np.int64)])
+        self.hits[at] += 1
+        return at
 
     def _by_arrow(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        spaced = self.spaced
-        lists = pc.split_pattern(texts, " ") if spaced else pc.ascii_split_whitespace(texts)
-        coded = lists.flatten().dictionary_encode()
-        words, edges = coded.dictionary.to_pylist(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
-        at = self._at((" " + w for w in words) if spaced else words, len(words))[coded.indices.to_numpy()]
-        if spaced and len(at):  # the first word of a text has no space before it
-            at[edges[:-1]] = self._at(pc.list_element(lists, 0).to_pylist(), len(lists))
-        return at, np.diff(edges)
+        lists = pc.split_pattern(texts, " ") if self.spaced else pc.ascii_split_whitespace(texts)
+        coded, per_text = lists.flatten().dictionary_encode(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        if not self.spaced:
+            return self._places(coded.dictionary)[coded.indices.to_numpy()], per_text
+        # The first word of a text has no space before it.
+        first = pc.list_element(lists, 0).dictionary_encode() if len(lists) else coded.slice(0, 0)
+        places = self._places(pa.concat_arrays([pc.binary_join_element_wise("", coded.dictionary, " "), first.dictionary]))
+        at = places[coded.indices.to_numpy()]
+        if len(at):
+            at[np.cumsum(per_text) - per_text] = places[len(coded.dictionary) :][first.indices.to_numpy()]
+        return at, per_text
 
     def _by_split(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         words = [self.split(t) for t in texts]
-        per_text = np.fromiter(map(len, words), np.int64, len(words))
-        return self._at(chain.from_iterable(words), int(per_text.sum())), per_text
+        coded = pa.array(chain.from_iterable(words), pa.string()).dictionary_encode()
+        return self._places(coded.dictionary)[coded.indices.to_numpy()], np.fromiter(map(len, words), np.int64, len(words))
+
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and the number of ids of each text."""
+        return self.encode_all(texts)[0]
 
-    def locate(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The places in ``starts`` and ``sizes`` of all texts' words one after another, and the number of words of each."""
-        if len(self.index) > self.limit or self.held > self.chars:
-            self._clear()
+    def encode_all(self, texts: pa.Array | list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The same of everything that is kept."""
+        if len(self.words) > self.limit or self.words.nbytes > self.held:
+            self._trim()
         if isinstance(texts, list):
             at, per_text = self._by_split(texts)
         elif self.spaced and (odd := pc.or_(pc.match_substring(texts, "  "), pc.ends_with(texts, " ")).to_numpy(zero_copy_only=False)).any():
@@ -112,77 +147,84 @@ class WordEncoder:
             at[~of_odd], at[of_odd] = at_a, at_b
         else:
             at, per_text = self._by_arrow(texts)
-        if new := self.index.new:
-            got, sizes = self.encode_many(new)
-            base = len(self.flat)
-            self.starts = np.concatenate([self.starts, base + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, got])
-            self.held += sum(map(len, new))
-            self.index.new = []
-        return at, per_text
+        out, edges = [], np.concatenate([[0], np.cumsum(per_text)])
+        for starts, sizes, values in self.kept:
+            n = sizes[at]
+            out.append((values[_ranges(starts[at], n)], np.diff(np.concatenate([[0], np.cumsum(n)])[edges])))
+        return out
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for each start as many as its size."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _line(pieces: pa.Array) -> str:
+    """All pieces, a line feed after each."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(pieces)], pieces), "\n")[0].as_py() + "\n"
+
+
+def _bytes_of_letters() -> dict[str, int]:
+    """How vocabulary files of this kind write bytes: printable Latin-1 as itself, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
 
-    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after another, and the number of ids of each text."""
-        at, per_text = self.locate(texts)
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        edges = np.concatenate([[0], np.cumsum(per_text)])
-        total = np.concatenate([[0], ends])
-        return ids, np.diff(total[edges])
 
+def _merger(model: dict, spaced: bool):
+    """The library's merges by rank over one long string: of a byte-level vocabulary as it is; of one with word ends
+    with a line feed for each end. Ids must rise with the order of the merges, which is checked."""
+    import tiktoken
 
-def _bare_parts(word: str) -> tuple[str, ...]:
-    m = _PLAIN.fullmatch(word)
-    return (word,) if m is None else (m[1].lower(), m[2]) if m[2] else (m[1].lower(),)
+    letters, end = _bytes_of_letters(), model.get("end_of_word_suffix") or None
+    raw = lambda t: bytes(map(letters.__getitem__, t.removesuffix(end) if end else t)) + (b"\n" if end and t.endswith(end) else b"")
+    made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if any(a >= b for a, b in zip(made, made[1:])) or spaced == bool(end):
+        raise ValueError("a vocabulary of another kind")
+    return tiktoken.Encoding("own", pat_str=BYTE_LEVEL if spaced else r"[^\n]+\n", mergeable_ranks={raw(t): i for t, i in model["vocab"].items()}, special_tokens={})
 
 
 def word_encoder(path: str, spaced: bool) -> WordEncoder:
     """Of a tokenizer file; special tokens' strings in a text are ordinary text.
 
-    New words are encoded many in one string, at a third of the cost of one by one: spaced ones with a line feed
-    between them, which is a token of its own. A bare word of plain letters with punctuation after it is encoded as
-    these two parts in lower case, parted by a space, each the tokens up to one word end. Other words go alone
-    through the whole tokenizer.
+    Most new words are encoded many in one string by the file's vocabulary: spaced ones with a line feed between them,
+    which is a token of its own; bare ones as their letters in lower case and the punctuation after these, each up to
+    a word end. Other words go one by one through the whole tokenizer.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    alone = lambda words: [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)]
-    if spaced:
-        joined, between, is_end = t, "\n", t.encode("\n", add_special_tokens=False).ids
-        # One space at most before the word and none after it, so that no white space joins the line feed.
-        fits = lambda w: w != "" and "\n" not in w and not w[-1].isspace() and not w[w[0] == " "].isspace()
-    else:
-        joined, between, is_end = Tokenizer.from_file(path), " ", [i for w, i in t.get_vocab().items() if w.endswith("</w>")]
-        joined.encode_special_tokens, joined.normalizer = True, None
-        fits = lambda w: _PART.fullmatch(w) is not None
-    ends = np.zeros(t.get_vocab_size(), bool)
-    ends[is_end] = True
-
-    def encode_many(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        good = np.fromiter(map(fits, words), bool, len(words))
-        rest = list(compress(words, good.tolist()))
-        texts = [between.join([*rest[i : i + 2000], ""]) if spaced else between.join(rest[i : i + 2000]) for i in range(0, len(rest), 2000)]
-        line = np.concatenate([np.zeros(0, np.uint32), *[np.array(e.ids, np.uint32) for e in joined.encode_batch_fast(texts, add_special_tokens=False)]])
-        sizes = np.diff(np.flatnonzero(ends[line]), prepend=-1)
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    merger, fits = _merger(model, spaced), _JOINED_SPACED if spaced else _JOINED_BARE
+    end = model.get("end_of_word_suffix") or "\0"
+    ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+    ends[merger.encode_ordinary("\n") if spaced else [i for w, i in model["vocab"].items() if w.endswith(end)]] = True
+
+    def joined(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if spaced:
-            line, sizes = line[~ends[line]], sizes - 1
+            line = merger.encode_to_numpy(_line(words), disallowed_special=())
+            return line[~ends[line]], np.diff(np.flatnonzero(ends[line]), prepend=-1) - 1
+        low = pc.utf8_lower(words)
+        two = pc.match_substring_regex(low, f"[{_MARKS}]$").to_numpy(zero_copy_only=False)
+        line = merger.encode_to_numpy(_line(pc.replace_substring_regex(low, f"^([^{_MARKS}]+)([{_MARKS}]+)$", "\\1\n\\2")), disallowed_special=())
+        return line, np.diff(np.flatnonzero(ends[line])[np.cumsum(1 + two) - 1], prepend=-1)
+
+    def encode_new(words: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        good = pc.match_substring_regex(words, fits).to_numpy(zero_copy_only=False)
+        line, sizes = joined(words.filter(pa.array(good))) if good.any() else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         if good.all():
-            return line, sizes
-        single = alone(list(compress(words, (~good).tolist())))
+            return [(line, sizes)]
+        single = [e.ids for e in t.encode_batch_fast(words.filter(pa.array(~good)).to_pylist(), add_special_tokens=False)]
         both = np.zeros(len(words), np.int64)
         both[good], both[~good] = sizes, [len(x) for x in single]
         whole, of_good = np.zeros(both.sum(), np.uint32), np.repeat(good, both)
         whole[of_good], whole[~of_good] = line, list(chain.from_iterable(single))
-        return whole, both
+        return [(whole, both)]
 
-    if spaced:
-        return WordEncoder(encode_many, spaced_words, True, 800_000, 20_000_000)
-    return WordEncoder(WordEncoder(encode_many, _bare_parts).encode, bare_words)
+    return WordEncoder(encode_new, spaced_words if spaced else bare_words, spaced)
 
 
 def bits_for(vocabulary: int) -> int:

@@ -1,4 +1,5 @@
 import zlib
+from functools import cache
 
 import numpy as np
 import public_tokenizers as P
@@ -32,12 +33,18 @@ def test_random_access(bits):
         assert (shard.read(start, n) == ids[start : start + n]).all()
 
 
+@cache
 def library(name):
     t = Tokenizer.from_file(P.path(name))
     t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
+@cache
+def encoder(name, spaced):
+    return tokens.word_encoder(P.path(name), spaced)
+
+
 ODD = ["", " ", "  a", "a  b", "a   b ", "it's we'll ''s", "x\n\ny\n z", "\ta\r\nb", "a\x85b\xa0c", "\x1ca \x1f", "ÀÉ ßẞ İi Σς", "<|endoftext|> <|startoftext|>", "a.b,c!d", "1234 5.6", "é" * 300, "🙂 🙂🙂", "ends ", "ü̈ ", "a　b ", "_x_ #y$", "a \tb", "\t b", "x \r y", "a\x0b c"]
 
 
@@ -45,7 +52,7 @@ ODD = ["", " ", "  a", "a  b", "a   b ", "it's we'll ''s", "x\n\ny\n z", "\ta\r\
 @settings(max_examples=80, deadline=None)
 @pytest.mark.parametrize("name, spaced", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 def test_encoder_is_the_library(name, spaced, texts):
-    ids, n = tokens.word_encoder(P.path(name), spaced).encode(pa.array(texts))
+    ids, n = encoder(name, spaced).encode(pa.array(texts))
     expected = [library(name)(t) for t in texts]
     assert n.tolist() == [len(e) for e in expected] and ids.tolist() == [i for e in expected for i in e]
 
@@ -58,6 +65,17 @@ def test_encoder_forgets_without_harm():
         assert e.encode(pa.array([text]))[0].tolist() == encode(text)
 
 
+@pytest.mark.parametrize("name, spaced", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_encoder_is_the_library_on_whole_documents(name, spaced, documents):
+    texts = [r.text for r in documents.select("text").collect()]
+    e, encode = tokens.word_encoder(P.path(name), spaced), library(name)
+    e.limit = 20_000  # words are let go between the batches
+    for i in range(0, len(texts), 100):
+        ids, n = e.encode(pa.array(texts[i : i + 100]))
+        expected = [encode(t) for t in texts[i : i + 100]]
+        assert n.tolist() == [len(x) for x in expected] and ids.tolist() == [x for y in expected for x in y]
+
+
 def test_documents_by_file(spark, awkward):
     rows = {r.doc_id: r for r in tokens.token_ids(awkward, P.path("word_bpe_49k.json")).collect()}
     encode, start = library("word_bpe_49k.json"), 0
