@@ -6,7 +6,7 @@ import corpus_pipeline
 from strandbase.llm import packing
 
 from .test_secrets_and_rules import brute
-from .test_simhash import plain_components, plain_fingerprint
+from .test_simhash import near_by_several, plain_components, plain_several
 
 SF = "/root/testdata/sf0.01"
 
@@ -42,8 +42,8 @@ def test_filters_follow_the_labels(spark, steps):
 
 def test_near_dedup_against_brute_force(steps):
     before, after = rows(steps[1]), rows(steps[2])
-    fps = {i: plain_fingerprint(r.text) for i, r in before.items()}
-    of = plain_components(set(fps.values()))
+    fps = {i: plain_several(r.text) for i, r in before.items()}
+    of = plain_components(set(fps.values()), near_by_several)
     least = {}
     for i, f in fps.items():
         least[of[f]] = min(least.get(of[f], i), i)

@@ -21,7 +21,7 @@ def test_fingerprint(text):
     assert simhash.fingerprint(simhash.shingle_hashes(text, 3)) == plain_fingerprint(text)
 
 
-def plain_components(fps):
+def plain_components(fps, linked=lambda a, b: (a ^ b).bit_count() <= 3):
     parent = {f: f for f in fps}
 
     def find(x):
@@ -30,7 +30,7 @@ def plain_components(fps):
         return x
 
     for a, b in combinations(sorted(parent), 2):
-        if (a ^ b).bit_count() <= 3:
+        if linked(a, b):
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
     return {f: find(f) for f in parent}
@@ -55,7 +55,7 @@ def test_links_keep_all_components(spark, monkeypatch, split_above):
     # One leading quarter holds a third of them, so that it is dealt out.
     fps = sorted({*fps, *[(0xABCD << 48) | (f >> 16) for f in fps[::2]]})
     df = spark.createDataFrame([(i, int(np.array([f], np.uint64).view(np.int64)[0])) for i, f in enumerate(fps)], "id long, fp long")
-    edges = [(r.a % 2**64, r.b % 2**64) for r in simhash.links(df.select("fp")).collect()]
+    edges = [(r.a % 2**64, r.b % 2**64) for r in simhash.links(df.selectExpr("fp as node", "fp as f0")).collect()]
     assert len(edges) <= 4 * len(fps) * (1 if split_above > 3 else 42)
     expected = plain_components(fps)
     assert all(expected[a] == expected[b] for a, b in edges)
@@ -82,6 +82,61 @@ def test_trie_join_finds_every_link(seed):
     assert len(labels) == len(set(expected.values()))
 
 
+@pytest.mark.parametrize("budget", [3, 7])
+def test_turned_tries_find_every_link_from_the_root(spark, budget):
+    """On the documents' fingerprints and crowded ones: the joins go down from the root, and no link is lost."""
+    rng = np.random.default_rng(budget)
+    fps = crowded(rng, 60) + [plain_fingerprint(r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(300).collect()]
+    keys, opened, segment = np.array(sorted(set(fps)), np.uint64), 0, 64 // (budget + 1)
+    forest, n, zero = simhash._Forest(len(keys)), np.array([len(keys)]), np.array([0])
+    for q in range(budget + 1):
+        turn = np.uint64(q * segment)
+        turned = keys if not q else (keys << turn) | (keys >> (np.uint64(64) - turn))
+        order = np.argsort(turned)
+        own = simhash._Forest(len(keys))
+        opened += simhash.trie_join(turned[order], [zero, n, zero, n, zero], 0, budget, own, None, segment)
+        forest.link(order, order[own.label])
+    expected = plain_components([int(k) for k in keys], lambda a, b: (a ^ b).bit_count() <= budget)
+    labels = {}
+    for k, x in zip(keys.tolist(), forest.label.tolist()):
+        assert labels.setdefault(x, expected[k]) == expected[k]
+    assert len(labels) == len(set(expected.values()))
+    assert opened > len(keys) / 2 and simhash.LEAF <= 16
+
+
+def plain_several(text):
+    """Four fingerprints of shingles of five words, by hashes of the hashes."""
+    h = np.array(simhash.shingle_hashes(text, 5), np.uint64)
+    bits = lambda x: sum(1 << b for b in range(64) if 2 * int((x >> np.uint64(b) & np.uint64(1)).sum()) > len(x))
+    return tuple(bits(simhash._mixed(h, k)) for k in range(4))
+
+
+def near_by_several(a, b):
+    d = [(x ^ y).bit_count() for x, y in zip(a, b)]
+    return min(d) <= 7 and sum(d) <= 39
+
+
+def test_first_of_each_against_brute_force(spark, documents):
+    rng = np.random.default_rng(9)
+    rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").limit(150).collect()]
+    for i, t in rows[:40]:
+        w = t.split()
+        if len(w) > 60:
+            for _ in range(len(w) // 100 + 1):
+                w[int(rng.integers(len(w)))] = "changed"
+            rows.append((5000 + i, " ".join(w)))
+    rows += [(rows[0][0], rows[0][1]), (rows[1][0], "another text under the same id, which nothing else here is like"), (None, rows[2][1]), (None, "a text of its own without an id")]
+    got = sorted(((r.doc_id, r.text) for r in simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str)
+    of = plain_components({plain_several(t) for _, t in rows}, near_by_several)
+    least = {}
+    for i, t in rows:
+        key = (i is None, i or 0)
+        root = of[plain_several(t)]
+        least[root] = min(least.get(root, (True, 2**63)), key)
+    assert len(got) == len(least) < len(rows) - 10
+    assert sorted((i is None, i or 0) for i, _ in got) == sorted(least.values())
+
+
 def test_long_chain(spark):
     rows = [(i, i + 1) for i in range(200)]
     out = simhash.components(spark.createDataFrame(rows, "a long, b long")).collect()
