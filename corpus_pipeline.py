@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences: five stages over the documents table.
 
-Every stage but the last returns the columns of its input. A null doc_id has no copies to compare with: near-dedup
-leaves such rows alone. Of rows with one doc_id near-dedup keeps one.
+Every stage but the last returns the columns of its input. Near-dedup compares texts: rows with one doc_id and different
+texts are different documents, repeated rows are one, and a null doc_id comes after all others.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandbase.llm import packing, quality, secrets, simhash, toxicity
+from strandbase.llm.common import spread
+from strandbase.llm.common import stage as staged
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,11 +32,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest doc_id stays."""
-    groups = simhash.near_duplicates(docs)
-    stay = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """Of each group of near copies, by shingles of five words, the document with the smallest doc_id stays."""
+    return simhash.first_of_each(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +59,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after another, each written in the shared folder and read by the next."""
-    from strandbase.llm.common import stage as staged
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, step in STAGES[:-1]:
         docs = staged(step(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
