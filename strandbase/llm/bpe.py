@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_chunks, held_by_worker, text_or_empty
+from .common import arrow_chunks, groups, held_by_worker, text_or_empty
 from .tokens import WordEncoder, spaced_words
 
 ROUNDS = 64
@@ -103,7 +103,7 @@ class DuckBpe:
         out[0] = (out[0][0], np.zeros(len(out[0][0]), np.int64), out[0][1])
         sizes = np.array([len(data[i]) for i in todo], np.int64)
         ends = np.cumsum(sizes)
-        for lo, hi in _groups(sizes, ROWS):
+        for lo, hi in groups(sizes, ROWS):
             n, ids = sizes[lo:hi], np.array(todo[lo:hi], np.int64)
             flat = self.byte[np.frombuffer(b"".join(data[i] for i in todo[lo:hi]), np.uint8)]
             word = np.repeat(ids, n).astype(np.int32)
@@ -128,7 +128,7 @@ class DuckBpe:
         """The bytes of each stretch of ids."""
         out = [b""] * len(sizes)
         ends = np.cumsum(sizes)
-        for lo, hi in _groups(sizes, ROWS):
+        for lo, hi in groups(sizes, ROWS):
             n = sizes[lo:hi]
             first = ends[lo] - n[0]
             word = np.repeat(np.arange(lo, hi), n)
@@ -145,15 +145,6 @@ class DuckBpe:
             yield ids[i:j], back[a:b].tobytes()
 
 
-def _groups(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges that hold about ``most`` rows together."""
-    ends, lo = np.cumsum(sizes), 0
-    while lo < len(sizes):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
-        yield lo, hi
-        lo = hi
-
-
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each text."""
 

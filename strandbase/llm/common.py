@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
@@ -136,6 +137,15 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
         yield part, texts.to_pylist()
 
 
+def groups(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges that hold about ``most`` rows together."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
 def held_by_worker(key: tuple, make):
     """An object that a Python worker keeps from task to task; only ever a cache, so a new worker makes its own."""
     held = sys.modules.setdefault("strandbase_worker", types.ModuleType("strandbase_worker")).__dict__

@@ -2,20 +2,21 @@
 
 Codes are cut into four segments of 16 bits. A code within distance 4 (r + 1) - 1 of a query is within r of it in some
 segment, so looking up all segment values within r finds every such code. r grows from 0 until the kth verified
-distance is covered. Codes are searched in blocks of different codes; of one code only its k smallest ids matter, as
-they tie. Queries meet every block; each block gives at most k rows a query, and these are merged.
+distance is covered. Where more values lie within a radius than the segment has values in use, those in use are taken by
+their distance instead: the same values, without looking up empty ones. Every code that is found is found by a segment
+within the radius, at every size of table.
 
-When the values to look up are more than a block has codes, the block is compared whole for the queries left: the
-same result at a radius that covers all.
+Codes are searched in blocks of different codes; of one code only its k smallest ids matter, as they tie. Queries meet
+every block, in parts of QUERIES_A_TASK; each block gives at most k rows a query, and these are merged. Shuffled are
+N * ceil(Q / QUERIES_A_TASK) codes and Q * ceil(N / BLOCK_CODES) queries of N codes and Q queries.
 
-Defined results: rows without a vector or id take no part; a vector has the same code as an equal one; neighbours are
+Defined results: rows without a vector (or with an empty one) or id take no part; a vector has the same code as an equal one; neighbours are
 ordered by distance, then id; a query is not its own neighbour, other rows with its code are; with fewer than k other
 rows all are returned; an empty table gives no row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -23,10 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import groups
+
 SEGMENTS, SEGMENT_BITS = 4, 16
 BITS = SEGMENTS * SEGMENT_BITS
-BLOCK_CODES = 100_000
-QUERIES_A_TASK = 5_000
+BLOCK_CODES = 400_000
+QUERIES_A_TASK = 400_000
+AT_ONCE = 2_000_000  # values or codes that a task looks at
 SALTS = 64
 
 
@@ -34,7 +38,7 @@ def sign_codes(vectors: DataFrame, id_column: str = "vec_id", vector: str = "emb
     """id and code: bit i is set where element i of the first 64 is above zero."""
     bits = F.transform(F.slice(vector, 1, BITS), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     code = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-    return vectors.filter(F.col(id_column).isNotNull() & F.col(vector).isNotNull()).select(F.col(id_column).cast("long").alias("id"), code.alias("code"))
+    return vectors.filter(F.col(id_column).isNotNull() & (F.size(vector) > 0)).select(F.col(id_column).cast("long").alias("id"), code.alias("code"))
 
 
 def code_classes(codes: DataFrame, k: int) -> DataFrame:
@@ -50,54 +54,52 @@ def _masks(radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in bits) for bits in combinations(range(SEGMENT_BITS), radius)], np.int64)
 
 
-def search_block(codes: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, code, distance) places of the k nearest codes of each query, with all that tie with the kth."""
+def search_block(codes: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, code, distance) places of the k nearest codes of each query, with all that tie with the kth; and the
+    radius at which each query was covered."""
     segment = lambda x, s: ((x >> np.uint64(SEGMENT_BITS * s)) & np.uint64(0xFFFF)).astype(np.int64)
     orders = [np.argsort(segment(codes, s), kind="stable") for s in range(SEGMENTS)]
     starts = [np.searchsorted(segment(codes, s)[o], np.arange((1 << SEGMENT_BITS) + 1)) for s, o in enumerate(orders)]
+    in_use = [np.flatnonzero(np.diff(x)) for x in starts]
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     # How many found codes each left query has at each distance: the kth verified distance follows.
-    counts = np.zeros((len(queries), BITS + 1), np.int64)
+    counts, covered_at = np.zeros((len(queries), BITS + 1), np.int64), np.full(len(queries), SEGMENT_BITS)
     left = np.arange(len(queries))
     for radius in range(SEGMENT_BITS + 1):
         masks = _masks(radius)
-        if SEGMENTS * len(masks) > len(codes):  # looking up costs more than comparing
-            break
         for s in range(SEGMENTS):
-            for lo in range(0, len(left), max(1, 2_000_000 // len(masks))):
-                q = left[lo : lo + max(1, 2_000_000 // len(masks))]
-                values = segment(queries[q], s)[:, None] ^ masks[None, :]
-                a, b = starts[s][values], starts[s][values + 1]
-                n = (b - a).ravel()
-                total = int(n.sum())
-                if not total:
-                    continue
-                who = np.repeat(np.repeat(q, len(masks)), n)
-                what = orders[s][np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a.ravel(), n)]
-                # A code counts at the first segment and radius that finds it.
-                x = queries[who] ^ codes[what]
-                near = np.array([np.bitwise_count(segment(x, t)) for t in range(SEGMENTS)])
-                new = (near.min(axis=0) == radius) & (near.argmin(axis=0) == s)
-                who, what, d = who[new], what[new], near.sum(axis=0)[new]
-                np.add.at(counts, (who, d), 1)
-                found.append((who, what, d))
+            step = max(1, AT_ONCE // min(len(masks), max(1, len(in_use[s]))))
+            for lo in range(0, len(left), step):
+                q = left[lo : lo + step]
+                own = segment(queries[q], s)[:, None]
+                if len(masks) <= len(in_use[s]):
+                    asking, values = np.repeat(q, len(masks)), (own ^ masks).ravel()
+                else:
+                    row, value = np.nonzero(np.bitwise_count(own ^ in_use[s]) == radius)
+                    asking, values = q[row], in_use[s][value]
+                first, sizes = starts[s][values], starts[s][values + 1] - starts[s][values]
+                used = np.flatnonzero(sizes)
+                for i, j in groups(sizes[used], AT_ONCE):
+                    at = used[i:j]
+                    n = sizes[at]
+                    who, what = np.repeat(asking[at], n), orders[s][np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at], n)]
+                    # A code counts at the first segment and radius that finds it.
+                    x = queries[who] ^ codes[what]
+                    near = np.array([np.bitwise_count(segment(x, t)) for t in range(SEGMENTS)])
+                    new = (near.min(axis=0) == radius) & (near.argmin(axis=0) == s)
+                    who, what, d = who[new], what[new], near.sum(axis=0, dtype=np.int64)[new]
+                    np.add.at(counts, (who, d), 1)
+                    found.append((who, what, d))
         covered = SEGMENTS * (radius + 1) - 1
-        left = left[counts[left, : covered + 1].sum(axis=1) < min(k, len(codes))]
+        done = counts[left, : covered + 1].sum(axis=1) >= min(k, len(codes))
+        covered_at[left[done]] = radius
+        left = left[~done]
         if not len(left):
             break
-    if len(left):
-        done = np.isin(np.arange(len(queries)), left, invert=True)
-        found = [(w[done[w]], c[done[w]], d[done[w]]) for w, c, d in found]
-        counts[left] = 0
-        for q in left.tolist():
-            d = np.bitwise_count(codes ^ queries[q]).astype(np.int64)
-            counts[q] = np.bincount(d, minlength=BITS + 1)
-            c = np.flatnonzero(d <= np.searchsorted(np.cumsum(counts[q]), min(k, len(codes))))
-            found.append((np.full(len(c), q), c, d[c]))
     who, what, d = (np.concatenate([np.zeros(0, np.int64), *[f[i] for f in found]]) for i in range(3))
     last = (np.cumsum(counts, axis=1) < min(k, len(codes))).sum(axis=1)  # the kth distance
     keep = d <= last[who]
-    return who[keep], what[keep], d[keep]
+    return who[keep], what[keep], d[keep], covered_at
 
 
 def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -115,7 +117,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             return pd.DataFrame({c: np.zeros(0, np.int64) for c in columns})
         ids = index["ids"].tolist()
         # One more than k, as a query may find itself; ties are cut by id only once ids are known.
-        who, what, d = search_block(index["code"].to_numpy(np.int64).view(np.uint64), asked["code"].to_numpy(np.int64).view(np.uint64), k + 1)
+        who, what, d, _ = search_block(index["code"].to_numpy(np.int64).view(np.uint64), asked["code"].to_numpy(np.int64).view(np.uint64), k + 1)
         n = np.array([len(x) for x in ids])[what]
         out = pd.DataFrame({"query_id": np.repeat(asked["id"].to_numpy()[who], n), "id": np.concatenate([np.zeros(0, np.int64), *[ids[i] for i in what]]), "distance": np.repeat(d, n)})
         out = out[out["query_id"] != out["id"]].sort_values(columns[::2] + ["id"], kind="stable")

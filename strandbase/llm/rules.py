@@ -1,12 +1,14 @@
 """Quality rules with robust multivariate outliers, in DataFrame functions only.
 
 Statistics of each text come from array functions on the row itself. Per language and source a minimum covariance
-determinant estimate is made of the transformed statistics: from median and scaled median deviation, concentration
-steps keep the share of rows with the smallest distances and take mean and covariance of these. Texts far beyond
-the estimate by Mahalanobis distance are rejected. Groups are only ever aggregated, so a group of any size is
-fine; small groups share an estimate over all of them.
-
-Defined results: null text has no words; repeated rows count each for itself; a null language or source is a group
+determinant estimate is made of the transformed statistics: from several starts (deviations from the median; the
+covariances of spatial signs and of hyperbolic tangents), concentration steps keep the share of rows with the smallest
+distances and take mean and covariance of these, until no determinant falls any more; the least determinant wins.
+Texts beyond the estimate by Mahalanobis distance are rejected, at a quantile of the chi-square distribution. Groups
+are only ever aggregated, so a group of any size is fine. An estimate of n rows is drawn towards that of all rows
+together, as if PRIOR rows of that were among them: one rule for groups of any size.
+
+Defined results: null text has no words; a text that fails the base rules takes no part in estimates; repeated rows count each for itself; a null language or source is a group
 of its own; an empty table gives no row; window equality is that of 64-bit hashes within one text.
 """
 
@@ -30,10 +32,14 @@ FEATURES = {
     "f_repeat": ("sqrt(n_repeat_words / greatest(n_words, 1))", 0.08),
 }
 KEEP = 0.75  # share of rows in a concentration step
-STEPS = 3
-CUT = 50.0  # squared distance; the share of a normal sample beyond it is 4e-10 in four dimensions
-SMALL_GROUP = 200
+STARTS = ("median", "sign", "tanh")
+FALLS = 1e-3  # a determinant that falls by less has converged
+MOST_STEPS = 30  # never met on any table so far; each step lowers every determinant
+PRIOR = 30
+CUT = 23.51  # squared distance; the share of a normal sample beyond it is 1e-4 in four dimensions
+POOLED = "\x1fall"
 D = len(FEATURES)
+LOWER = [(i, j) for i in range(D) for j in range(i + 1)]
 SALTS = 32
 
 
@@ -79,43 +85,78 @@ def _distance(names: list[str]) -> Column:
 
 
 def _factor(est: DataFrame, floors: list[float]) -> DataFrame:
-    """Cholesky factor of the covariances c_<i>_<j> with the floors added to the diagonal, column by column."""
+    """Adds det and the Cholesky factor l_<i>_<j> of the covariances c_<i>_<j> with the floors added to the diagonal."""
     for j in range(D):
         below = reduce(lambda a, b: a + b, [F.col(f"l_{j}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)], F.lit(0.0))
         est = est.withColumn(f"l_{j}_{j}", F.sqrt(F.greatest(F.col(f"c_{j}_{j}") + floors[j] ** 2 - below, F.lit(1e-9))))
         for i in range(j + 1, D):
             mixed = reduce(lambda a, b: a + b, [F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)], F.lit(0.0))
             est = est.withColumn(f"l_{i}_{j}", (F.col(f"c_{i}_{j}") - mixed) / F.col(f"l_{j}_{j}"))
-    return est.select("grp", *[f"m_{i}" for i in range(D)], *[f"l_{i}_{j}" for i in range(D) for j in range(i + 1)])
+    return est.withColumn("det", reduce(lambda a, b: a * b, [F.col(f"l_{i}_{i}") * F.col(f"l_{i}_{i}") for i in range(D)]))
 
 
-def _beside(rows: DataFrame, small: DataFrame, how: str = "inner") -> DataFrame:
-    """Rows with what ``small`` (one row a group) has for their group; by group and salt, so a group of any size is
+def _beside(rows: DataFrame, small: DataFrame, how: str = "inner", by: tuple[str, ...] = ("grp",)) -> DataFrame:
+    """Rows with what ``small`` (a few rows a group) has for their group; by group and salt, so a group of any size is
     spread over tasks and later groupings by group start from partial results."""
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
     copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("__salt", salt).join(copies, ["grp", "__salt"], how).drop("__salt")
+    return rows.withColumn("__salt", salt).join(copies, [*by, "__salt"], how).drop("__salt")
 
 
-def mcd_estimates(rows: DataFrame) -> DataFrame:
-    """Mean and Cholesky factor for each value of ``grp`` over the columns of FEATURES; one row a group. doc_id only spreads."""
+def _starts(rows: DataFrame) -> DataFrame:
+    """grp, start, m_<i> and c_<i>_<j> of every start."""
     names, floors = list(FEATURES), [x[1] for x in FEATURES.values()]
     middle = rows.groupBy("grp").agg(*[F.percentile_approx(c, 0.5, 10_000).alias(f"m_{i}") for i, c in enumerate(names)])
     off = _beside(rows, middle).groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{i}")), 0.5, 10_000).alias(f"d_{i}") for i, c in enumerate(names)])
-    est = middle.join(off, "grp")
-    for i in range(D):
-        for j in range(i + 1):
-            est = est.withColumn(f"c_{i}_{j}", F.pow(1.4826 * F.col(f"d_{i}"), 2) if i == j else F.lit(0.0))
-    est = stage(_factor(est, floors), "mcd")
-    for _ in range(STEPS):
-        near = _beside(rows, est).select("doc_id", "grp", *names, _distance(names).alias("d2"))
-        cut = near.groupBy("grp").agg(F.percentile_approx("d2", KEEP, 10_000).alias("cut"))
-        half = _beside(near, cut).filter(F.col("d2") <= F.col("cut"))
-        moments = [F.avg(c).alias(f"m_{i}") for i, c in enumerate(names)]
-        # 1.86: the covariance of the nearest 75 % of a normal sample in four dimensions is smaller by this
-        moments += [(1.86 * F.covar_pop(names[i], names[j])).alias(f"c_{i}_{j}") for i in range(D) for j in range(i + 1)]
-        est = stage(_factor(half.groupBy("grp").agg(*moments), floors), "mcd")
-    return est
+    scale = [F.greatest(1.4826 * F.col(f"d_{i}"), F.lit(floors[i])).alias(f"s_{i}") for i in range(D)]
+    base = stage(middle.join(off, "grp").select("grp", *[f"m_{i}" for i in range(D)], *scale), "middle")
+    z = _beside(rows, base).select("grp", *[((F.col(c) - F.col(f"m_{i}")) / F.col(f"s_{i}")).alias(f"z_{i}") for i, c in enumerate(names)])
+    long = F.sqrt(reduce(lambda a, b: a + b, [F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(D)]))
+    z = z.withColumn("far", F.greatest(long, F.lit(1e-9)))
+    sign = [(D * F.avg(F.col(f"z_{i}") / F.col("far") * F.col(f"z_{j}") / F.col("far"))).alias(f"sign_{i}_{j}") for i, j in LOWER]
+    tanh = [F.covar_pop(F.tanh(f"z_{i}"), F.tanh(f"z_{j}")).alias(f"tanh_{i}_{j}") for i, j in LOWER]
+    wide = base.join(z.groupBy("grp").agg(*sign, *tanh), "grp")
+
+    def one(kind: str) -> Column:
+        of = lambda i, j: F.lit(float(i == j)) if kind == "median" else F.col(f"{kind}_{i}_{j}")
+        return F.struct(F.lit(kind).alias("start"), *[(of(i, j) * F.col(f"s_{i}") * F.col(f"s_{j}")).alias(f"c_{i}_{j}") for i, j in LOWER])
+
+    return wide.select("grp", *[f"m_{i}" for i in range(D)], F.explode(F.array(*[one(k) for k in STARTS])).alias("of")).select("grp", *[f"m_{i}" for i in range(D)], "of.*")
+
+
+def mcd_estimates(rows: DataFrame) -> DataFrame:
+    """For each value of ``grp`` the estimate of least determinant over the columns of FEATURES: n (rows it is of), m_<i>,
+    c_<i>_<j>, det and its Cholesky factor l_<i>_<j>. doc_id only spreads."""
+    names, floors = list(FEATURES), [x[1] for x in FEATURES.values()]
+    by, moments = ("grp", "start"), [F.avg(c).alias(f"m_{i}") for i, c in enumerate(names)]
+    # 1.86: the covariance of the nearest 75 % of a normal sample in four dimensions is smaller by this
+    moments += [(1.86 * F.covar_pop(names[i], names[j])).alias(f"c_{i}_{j}") for i, j in LOWER]
+    est, steps = stage(_factor(_starts(rows), floors), "mcd"), []
+    for _ in range(MOST_STEPS):
+        near = _beside(rows, est).select("doc_id", *by, *names, _distance(names).alias("d2"))
+        cut = near.groupBy(*by).agg(F.percentile_approx("d2", KEEP, 10_000).alias("cut"))
+        half = _beside(near, cut, by=by).filter(F.col("d2") <= F.col("cut"))
+        est = stage(_factor(half.groupBy(*by).agg(*moments, F.count("*").alias("n")), floors), "mcd")
+        steps.append(est)
+        if len(steps) > 1:
+            before = steps[-2].select(*by, F.col("det").alias("before"))
+            if not est.join(before, list(by)).filter(F.col("det") < (1 - FALLS) * F.col("before")).limit(1).count():
+                break
+    everything = reduce(DataFrame.unionByName, [e.withColumn("step", F.lit(k)) for k, e in enumerate(steps)])
+    values = ["n", *[f"m_{i}" for i in range(D)], *[f"c_{i}_{j}" for i, j in LOWER], *[f"l_{i}_{j}" for i, j in LOWER]]
+    best = everything.groupBy("grp").agg(F.min(F.struct("det", "start", "step", *values)).alias("best"))
+    return best.select("grp", "best.det", *[f"best.{v}" for v in values])
+
+
+def drawn_together(est: DataFrame, pooled: DataFrame) -> DataFrame:
+    """Each estimate mixed with the pooled one by the numbers of rows; the factor of the mixture's covariance."""
+    p = pooled.select(*[F.col(f"m_{i}").alias(f"pm_{i}") for i in range(D)], *[F.col(f"c_{i}_{j}").alias(f"pc_{i}_{j}") for i, j in LOWER])
+    both = est.join(F.broadcast(p), F.lit(True))  # one row
+    w = F.col("n") / (F.col("n") + PRIOR)
+    apart = [F.col(f"m_{i}") - F.col(f"pm_{i}") for i in range(D)]
+    c = [(w * F.col(f"c_{i}_{j}") + (1 - w) * F.col(f"pc_{i}_{j}") + w * (1 - w) * apart[i] * apart[j]).alias(f"c_{i}_{j}") for i, j in LOWER]
+    m = [(w * F.col(f"m_{i}") + (1 - w) * F.col(f"pm_{i}")).alias(f"m_{i}") for i in range(D)]
+    return _factor(both.select("grp", *m, *c), [x[1] for x in FEATURES.values()]).select("grp", *[f"m_{i}" for i in range(D)], *[f"l_{i}_{j}" for i, j in LOWER])
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -123,11 +164,10 @@ def judge(docs: DataFrame) -> DataFrame:
     stats = text_stats(docs)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     stats = stats.withColumn("base_failed", failed).withColumns({k: F.expr(v[0]) for k, v in FEATURES.items()})
-    stats = stage(stats, "stats")
-    named = stats.withColumn("grp", F.concat_ws("\x1f", F.coalesce("lang", F.lit("\x00")), F.coalesce("source", F.lit("\x00"))))
-    sizes = named.filter(~F.col("base_failed")).groupBy("grp").count().filter(F.col("count") >= SMALL_GROUP)
-    named = _beside(named, sizes, "left").withColumn("grp", F.when(F.col("count").isNotNull(), F.col("grp")).otherwise("\x1fsmall")).drop("count")
-    est = mcd_estimates(named.filter(~F.col("base_failed")))
-    out = _beside(named, est, "left").withColumn("distance2", _distance(list(FEATURES)))
+    named = stage(stats.withColumn("grp", F.concat_ws("\x1f", F.coalesce("lang", F.lit("\x00")), F.coalesce("source", F.lit("\x00")))), "stats")
+    passed = named.filter(~F.col("base_failed")).select("doc_id", "grp", *FEATURES)
+    est = stage(mcd_estimates(passed.withColumn("grp", F.explode(F.array(F.col("grp"), F.lit(POOLED))))), "mcd")
+    mixed = drawn_together(est.filter(F.col("grp") != POOLED), est.filter(F.col("grp") == POOLED))
+    out = _beside(named, mixed, "left").withColumn("distance2", _distance(list(FEATURES)))
     kept = ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= CUT)
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), *STATS, "base_failed", kept.alias("kept"), "distance2")

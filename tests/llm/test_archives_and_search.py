@@ -89,16 +89,21 @@ def test_block_search_is_exact(seed, k, n):
     centre = rng.integers(0, 2**63, 5).astype(np.uint64)
     codes = np.unique(centre[rng.integers(0, 5, n)] ^ np.array([sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 9)), replace=False)) for _ in range(n)], np.uint64))
     queries = np.concatenate([codes[:5], rng.integers(0, 2**63, 3).astype(np.uint64)])
-    who, what, d = mih.search_block(codes, queries, k)
+    who, what, d, radius = mih.search_block(codes, queries, k)
     got = [sorted((int(x), int(c)) for x, c in zip(d[who == q], what[who == q])) for q in range(len(queries))]
     assert got == brute(codes, queries, k)
+    # Each code is found by a segment within the radius, and a smaller radius would not have covered the kth.
+    for q in range(len(queries)):
+        own = [x for x, _ in got[q]]
+        assert mih.SEGMENTS * (radius[q] + 1) > sorted(np.bitwise_count(codes ^ queries[q]))[min(k, len(codes)) - 1] or radius[q] == 16
+        assert radius[q] == 0 or mih.SEGMENTS * radius[q] - 1 < max(own)
 
 
 def test_radii_grow_on_large_blocks():
     rng = np.random.default_rng(1)
     codes = np.unique(rng.integers(0, 2**63, 60_000).astype(np.uint64) << np.uint64(1))
     queries = codes[:40]
-    who, what, d = mih.search_block(codes, queries, 5)
+    who, what, d, _ = mih.search_block(codes, queries, 5)
     assert [sorted((int(x), int(c)) for x, c in zip(d[who == q], what[who == q])) for q in range(40)] == brute(codes, queries, 5)
 
 

@@ -76,10 +76,30 @@ def test_bradley_terry_recovers_an_order():
     assert all(loss(w) <= loss(w + d) + 0.01 for d in 0.3 * np.eye(3))
 
 
+def test_weights_are_those_of_plain_descent():
+    """Newton's method against plain gradient descent on the same pairs."""
+    rng = np.random.default_rng(6)
+    better, worse = rng.normal(0.7, 1, (40, 4)), rng.normal(0, 1, (50, 4))
+    again = np.random.default_rng(7)
+    x = better[again.integers(0, 40, 3000)] - worse[again.integers(0, 50, 3000)]
+    w = np.zeros(4)
+    for _ in range(4000):
+        w += 0.2 * ((x / (1 + np.exp(x @ w))[:, None]).mean(axis=0) - 1e-3 * w)
+    assert quality.fit_bradley_terry(better, worse, pairs=3000) == pytest.approx(w, abs=1e-3)
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_scores_do_not_depend_on_how_the_table_is_dealt_out(spark, documents, module):
+    labels, run = spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), quality.quality_scores if module is quality else toxicity.toxicity_scores
+    a, b = (sorted((r.doc_id, r.score) for r in run(df, labels).collect()) for df in (documents, documents.repartition(7)))
+    assert [x for x, _ in a] == [x for x, _ in b] and np.allclose([x for _, x in a], [x for _, x in b], atol=1e-6)
+
+
 def test_threshold_is_the_best_cut():
     rng = np.random.default_rng(4)
     s, good = rng.normal(size=60), rng.random(60) < 0.7
-    cut, quantile = quality.best_threshold(s, good, np.ones(60))
+    quantile = quality.best_quantile(s, good, np.ones(60))
+    cut = quality.at_quantile(s, np.ones(60), quantile)
     right = lambda c: ((s > c) == good).sum()
     assert right(cut) == max(right(c) for c in [*(s + 1e-9), -9]) and quantile == pytest.approx((s <= cut).mean())
 

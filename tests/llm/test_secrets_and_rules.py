@@ -58,6 +58,26 @@ def test_redaction_merges_overlaps(spark):
     assert rows[1].text == "x [REDACTED] y" and rows[1].n_chars == 14 and rows[2].text == "clean" and rows[2].n_chars == 5
 
 
+def test_batches_skip_what_earlier_ones_scanned(spark):
+    df = spark.createDataFrame([(i, f"token=abcdef{i % 5}") for i in range(60)], "doc_id long, text string")
+    rows, added = secrets.scan(df, batches=3)
+    assert added.count() == 5 * len(secrets.RULES)  # each blob by each rule once, whatever batch it came in
+    assert {r.doc_id: len(r.findings) for r in rows.collect()} == {i: 1 for i in range(60)}
+
+
+def test_many_findings_in_one_text(spark):
+    """Time in proportion to the findings: a hundred thousand in one text."""
+    import time
+
+    text = "".join(f"token=abcdef{i % 10} " for i in range(100_000))
+    df = spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long")
+    start = time.perf_counter()
+    row = secrets.secret_digest(df).first()
+    assert row.n_assign == 100_000 and row.spans == ",".join(f"assign:{14 * i}:{14 * i + 13}" for i in range(100_000))
+    assert secrets.redact_documents(df).first().text == "[REDACTED] " * 100_000
+    assert time.perf_counter() - start < 60
+
+
 def test_scan_is_native(spark, documents):
     for df in (secrets.secret_digest(documents), rules.judge(documents)):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
@@ -112,6 +132,45 @@ def test_estimates_withstand_outliers(spark):
     assert far.count() == 1000
 
 
+def plain_mcd(x):
+    """The estimate by the same starts and steps in numpy: n, mean, covariance, determinant."""
+    floors = np.array([v[1] for v in rules.FEATURES.values()])
+    low = lambda v, p: np.sort(v, axis=0)[max(0, int(np.ceil(p * len(v))) - 1)]
+    d2 = lambda m, c: np.einsum("ij,ij->i", x - m, np.linalg.solve(c + np.diag(floors**2), (x - m).T).T)
+    m0 = low(x, 0.5)
+    s = np.maximum(1.4826 * low(np.abs(x - m0), 0.5), floors)
+    z = (x - m0) / s
+    u, t = z / np.maximum(np.linalg.norm(z, axis=1), 1e-9)[:, None], np.tanh(z)
+    best = None
+    for c in (np.eye(4), 4 * u.T @ u / len(u), np.cov(t.T, bias=True).reshape(4, 4) if len(t) > 1 else np.zeros((4, 4))):
+        m, c, last = m0, c * np.outer(s, s), np.inf
+        for _ in range(60):
+            d = d2(m, c)
+            half = x[d <= low(d, rules.KEEP)]
+            m, c = half.mean(axis=0), 1.86 * np.atleast_2d(np.cov(half.T, bias=True))
+            det = np.linalg.det(c + np.diag(floors**2))
+            if best is None or det < best[0]:
+                best = (det, len(half), m, c)
+            if det > last * (1 - 1e-9):
+                break
+            last = det
+    return best
+
+
+def test_estimates_are_those_of_plain_mcd(spark):
+    rng, rows = np.random.default_rng(8), []
+    for g, (n, bad) in enumerate([(400, 60), (90, 20), (25, 5), (6, 0)]):
+        a = rng.normal(size=(4, 4)) * 0.4
+        x = np.vstack([rng.normal(size=(n, 4)) @ a + g, rng.normal(6, 0.3, (bad, 4))])
+        rows += [(len(rows) + i, f"g{g}", *map(float, v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "doc_id long, grp string, " + ", ".join(f"{c} double" for c in rules.FEATURES))
+    for r in rules.mcd_estimates(df).collect():
+        det, n, m, c = plain_mcd(np.array([v[2:] for v in rows if v[1] == r.grp]))
+        assert r.det <= det * 1.005 and abs(r.n - n) <= 2
+        assert np.allclose([r[f"m_{i}"] for i in range(4)], m, atol=0.05)
+        assert np.allclose([r[f"c_{i}_{j}"] for i, j in rules.LOWER], [c[i, j] for i, j in rules.LOWER], atol=0.05 * (1 + np.abs(c).max()))
+
+
 @pytest.mark.parametrize("n", [1, 5])
 def test_small_groups_share_an_estimate(spark, n):
     df = spark.createDataFrame([(i, "some plain words here " * 20, f"l{i}", None) for i in range(n)], "doc_id long, text string, lang string, source string")
