@@ -179,11 +179,12 @@ class Class:
         self.grams, self.counts = grams_[gram], counts[gram].astype(np.float32)
         self.contexts, self.totals, self.kinds = contexts[seen], totals[seen].astype(np.float32), kinds[seen].astype(np.float32)
 
-    def opened(self) -> Class:
-        """With the tables that find ids."""
+    @staticmethod
+    def opened(plain: dict) -> Class:
+        """Of an instance's attributes, with the tables that find ids."""
         out = object.__new__(Class)
-        out.discount, out.grams, out.contexts = self.discount, _Table(self.grams), _Table(self.contexts)
-        out.counts, out.totals, out.kinds = (_end(x, 0) for x in (self.counts, self.totals, self.kinds))
+        out.discount, out.grams, out.contexts = plain["discount"], _Table(plain["grams"]), _Table(plain["contexts"])
+        out.counts, out.totals, out.kinds = (_end(plain[x], 0) for x in ("counts", "totals", "kinds"))
         return out
 
     def prob(self, gram: np.ndarray, context: np.ndarray, lower: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
@@ -221,6 +222,10 @@ class Models:
             k = _gathered(below.groupBy(*_context()).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")), ["n", "kinds"])
             self.shared.append(_level(g["id"], g["n"], k["id"], k["n"], k["kinds"]))
 
+    def plain(self) -> tuple[list[dict], list[Thin]]:
+        """As arrays alone, which tasks can read without this module."""
+        return [vars(c) for c in self.classes], self.shared
+
 
 def _context() -> list[Column]:
     return [F.shiftright(k, BITS).alias(k) for k in ("key", "high")]
@@ -229,9 +234,10 @@ def _context() -> list[Column]:
 class Judge:
     """Evidence of words by the models, in a task."""
 
-    def __init__(self, models: Models):
-        self.classes = [c.opened() for c in models.classes]
-        self.shared = [(_Table(g), _end(less, 0), _Table(h), _end(by, 0), _end(back, 1)) for g, less, h, by, back in models.shared]
+    def __init__(self, plain: tuple[list[dict], list[Thin]]):
+        classes, shared = plain
+        self.classes = [Class.opened(c) for c in classes]
+        self.shared = [(_Table(g), _end(less, 0), _Table(h), _end(by, 0), _end(back, 1)) for g, less, h, by, back in shared]
 
     def __call__(self, words: list[str], docs: np.ndarray | None = None, toxic: np.ndarray | None = None) -> np.ndarray:
         """Toxic less ordinary log-likelihood of each word by its length; where ``docs`` and ``toxic`` tell the document
@@ -338,7 +344,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, column: st
     ends = counts.agg(F.sum("t"), F.sum("o")).first()
     if not ends[0] or not ends[1]:
         return Scorer(None)
-    sent = docs.sparkSession.sparkContext.broadcast(Models(counts))  # an entry for each different gram of the labelled rows
+    sent = docs.sparkSession.sparkContext.broadcast(Models(counts).plain())  # an entry for each different gram of the labelled rows
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

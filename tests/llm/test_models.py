@@ -117,7 +117,7 @@ def test_probabilities_sum_to_one(spark):
     """Over all characters after a context, with every order's counts from a few words."""
     words = ["aba", "abc", "bca", "aab", "cab", "abb"]
     df = spark.createDataFrame([(i, " ".join(words[: i + 1]), i % 2) for i in range(6)], "doc_id long, text string, label int")
-    judge = toxicity.Judge(toxicity.Models(toxicity.count_grams(df)))
+    judge = toxicity.Judge(toxicity.Models(toxicity.count_grams(df)).plain())
     for prefix in ("", "a", "ab", "zz"):
         codes = [1] * toxicity.ORDER + [ord(c) for c in prefix]
         context = 0
@@ -156,7 +156,7 @@ def test_every_gram_is_counted_by_itself(spark):
 
 def test_unknown_spellings_say_nothing(spark):
     df = spark.createDataFrame([(1, "vile rotten vile", 1), (2, "fair kind words", 0), (3, "vile rotten", 1), (4, "fair kind", 0)], "doc_id long, text string, label int")
-    judge = toxicity.Judge(toxicity.Models(toxicity.count_grams(df)))
+    judge = toxicity.Judge(toxicity.Models(toxicity.count_grams(df)).plain())
     vile, fair, new = judge(["vile", "fair", "zzqq"])
     assert vile > 0.5 > -0.3 > fair and abs(new) < 0.3
 
@@ -165,7 +165,7 @@ def test_own_counts_are_taken_off(spark):
     """What a document says of itself is what its class says when made without it (lower orders and discounts aside)."""
     texts = [("abab abc", 1), ("abc abd bb", 1), ("bb cab", 0), ("cab abab abc", 0), ("abd", 0)]
     schema = "doc_id long, text string, label int"
-    made = lambda rows: toxicity.Judge(toxicity.Models(toxicity.count_grams(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], schema))))
+    made = lambda rows: toxicity.Judge(toxicity.Models(toxicity.count_grams(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], schema))).plain())
     judge = made(texts)
     lower = 1e-3
     for left_out, (text, label) in enumerate(texts):
