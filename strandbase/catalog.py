@@ -69,12 +69,20 @@ class Table:
 
     def replace(self, df: DataFrame) -> None:
         if self.folder:
-            self.version += 1
-            path = f"{self.folder}/v{self.version:06d}"
-            df.write.mode("overwrite").parquet(path)
+            path = self._next_path()
+            df.write.mode("errorifexists").parquet(path)
             df = self.spark.read.parquet(path)
         self.base, self.changes, self.schema = df, {}, T.StructType(list(df.schema.fields))
 
+    def _next_path(self) -> str:
+        """The folder of the next version, after those of any process before."""
+        jvm = self.spark.sparkContext._jvm
+        top = jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = top.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(top)] if fs.exists(top) else []
+        self.version = max([self.version, *[int(x[1:]) for x in names if x[:1] == "v" and x[1:].isdigit()]]) + 1
+        return f"{self.folder}/v{self.version:06d}"
+
     def _fit(self, name: str, value: Any) -> None:
         """A column for a field that is not declared; a wider one where whole numbers meet others."""
         if name not in self.schema.names:

@@ -56,6 +56,15 @@ def sparse_scores(rows: DataFrame, key: str, query: Sequence[tuple[object, float
     return shared.groupBy(key).agg(F.sum(F.col("weight") * weight[F.col("dim")]).alias("_score"))
 
 
+def sparse_score(vector: Column, query: Sequence[tuple[object, float]], least: float = 0.001) -> Column:
+    """The dot product of a row's own postings with a fixed query, without weights near zero; NULL where no dimension is
+    shared. No shuffle: all postings of a row lie in it."""
+    weight = F.create_map(*[F.lit(x) for dim, w in query for x in (dim, float(w))])
+    shared = F.filter(vector, lambda p: p["dim"].isin([dim for dim, _ in query]) & (F.abs(p["weight"]) >= least))
+    total = F.aggregate(shared, F.lit(0.0), lambda s, p: s + p["weight"].cast("double") * weight[p["dim"]])
+    return F.when(F.size(shared) > 0, total)
+
+
 def fuse_ranks(lists: Sequence[DataFrame], key: str, k: int) -> DataFrame:
     """Reciprocal rank fusion of lists with key and _score that each hold a few best rows."""
     ranked = None

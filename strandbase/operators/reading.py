@@ -107,8 +107,15 @@ def fetch_join(frames: dict[str, DataFrame], edges_between, s: n.FetchJoin, sepa
         for alias, ref, df in ((j.left.alias, j.left, frames[collections[j.left.alias]]), (j.alias, j.right, right)):
             if ref.name not in df.columns:
                 raise InvalidQuery(f"{alias} has no field {ref.name}")
-        one = right if j.right.name == "id" else first_by(right, j.right.name, "id")
-        out = out.join(prefix(one, j.alias), F.col(f"`{j.left.alias}\x00{j.left.name}`") == F.col(f"`{j.alias}\x00{j.right.name}`"), j.how)
+        on = F.col(f"`{j.left.alias}\x00{j.left.name}`") == F.col(f"`{j.alias}\x00{j.right.name}`")
+        if j.right.name == "id" or j.how in ("inner", "left"):
+            one = right if j.right.name == "id" else first_by(right, j.right.name, "id")
+            out = out.join(prefix(one, j.alias), on, j.how)
+        else:
+            # Every right row takes part, but only the first of a key can match: the others come out unmatched.
+            firsts = right.filter(F.col(f"`{j.right.name}`").isNotNull()).groupBy(F.col(f"`{j.right.name}`").alias("__key")).agg(F.min("id").alias("__first")).drop("__key")
+            marked = prefix(right, j.alias).join(firsts, F.col(f"`{j.alias}\x00id`") == F.col("__first"), "left")
+            out = out.join(marked, on & F.col("__first").isNotNull(), j.how).drop("__first")
 
     def resolve(ref: n.Ref):
         name = f"{ref.alias}\x00{ref.name}"

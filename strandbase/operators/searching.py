@@ -30,8 +30,9 @@ def search_dense(df: DataFrame, vector: str, query: Sequence[float], k: int, at_
     return V.top(scored, "_score", "id", k)
 
 
-def sparse_hits(df: DataFrame, vector: str, query: Sequence[tuple[object, float]]) -> DataFrame:
-    return V.sparse_scores(V.postings(clean_only(df, vector), "id", vector), "id", query)
+def sparse_scores(df: DataFrame, vector: str, query: Sequence[tuple[object, float]]) -> DataFrame:
+    """Rows that share a dimension with the query, with _score; of dimensions named twice the last weight counts."""
+    return clean_only(df, vector).withColumn("_score", V.sparse_score(F.col(vector), list(dict(query).items()))).filter(F.col("_score").isNotNull())
 
 
 def with_rows(hits: DataFrame, df: DataFrame) -> DataFrame:
@@ -41,15 +42,15 @@ def with_rows(hits: DataFrame, df: DataFrame) -> DataFrame:
 
 
 def search_sparse(df: DataFrame, vector: str, query: Sequence[tuple[object, float]], k: int, at_least: float = 0.0) -> DataFrame:
-    hits = sparse_hits(df, vector, query)
+    hits = sparse_scores(df, vector, query)
     if at_least > 0:
         hits = hits.filter(F.col("_score") >= at_least)
-    return with_rows(V.top(hits, "_score", "id", k), df)
+    return V.top(hits, "_score", "id", k)
 
 
 def search_hybrid(df: DataFrame, dense: str, query: Sequence[float], sparse: str, words: Sequence[tuple[object, float]], k: int, depth: int) -> DataFrame:
     """Fusion by rank of the ``depth`` best of either kind."""
-    lists = [search_dense(df, dense, query, depth).select("id", "_score"), V.top(sparse_hits(df, sparse, words), "_score", "id", depth)]
+    lists = [search_dense(df, dense, query, depth).select("id", "_score"), V.top(sparse_scores(df, sparse, words).select("id", "_score"), "_score", "id", depth)]
     return with_rows(V.fuse_ranks(lists, "id", k), df)
 
 

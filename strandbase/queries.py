@@ -99,15 +99,15 @@ fetch("fetch_as_of_tx", "FETCH status, price FROM orders AS OF TRANSACTION 500;"
 
 # JOIN
 
-PEOPLE = """c AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, c_acctbal AS balance, CAST(c_nationkey AS VARCHAR) AS nation_id, c_mktsegment AS segment FROM customer WHERE c_nationkey % 5 <> 0),
-    na AS (SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, CAST(n_regionkey AS VARCHAR) AS region_id FROM nation WHERE n_nationkey % 5 <> 1),
+PEOPLE = """c AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, c_acctbal AS balance, CASE WHEN c_nationkey % 5 <> 0 THEN CAST(c_nationkey AS VARCHAR) END AS nation_id, c_mktsegment AS segment FROM customer),
+    na AS (SELECT CAST(n_nationkey AS VARCHAR) || CASE WHEN n_nationkey % 5 = 1 THEN 'x' ELSE '' END AS id, n_name AS name, CAST(n_regionkey AS VARCHAR) AS region_id FROM nation),
     re AS (SELECT CAST(r_regionkey AS VARCHAR) AS id, r_name AS name FROM region)"""
 
 
 def people(spark: SparkSession, sf_dir: str) -> Engine:
     e = Engine(spark, separator="_", clock=lambda: NOW)
-    e.register("customers", table(spark, sf_dir, "customer").filter("c_nationkey % 5 <> 0").selectExpr("cast(c_custkey as string) as id", "c_name as name", "c_acctbal as balance", "cast(c_nationkey as string) as nation_id", "c_mktsegment as segment"))
-    e.register("nations", table(spark, sf_dir, "nation").filter("n_nationkey % 5 <> 1").selectExpr("cast(n_nationkey as string) as id", "n_name as name", "cast(n_regionkey as string) as region_id"))
+    e.register("customers", table(spark, sf_dir, "customer").selectExpr("cast(c_custkey as string) as id", "c_name as name", "c_acctbal as balance", "case when c_nationkey % 5 <> 0 then cast(c_nationkey as string) end as nation_id", "c_mktsegment as segment"))
+    e.register("nations", table(spark, sf_dir, "nation").selectExpr("concat(cast(n_nationkey as string), case when n_nationkey % 5 = 1 then 'x' else '' end) as id", "n_name as name", "cast(n_regionkey as string) as region_id"))
     e.register("regions", table(spark, sf_dir, "region").selectExpr("cast(r_regionkey as string) as id", "r_name as name"))
     return e
 
@@ -118,7 +118,7 @@ def join(name: str, statement: str, sql: str) -> None:
 
     run.__name__ = name
     run.__doc__ = statement
-    query(f"WITH {PEOPLE} {sql}")(run)
+    query(f"WITH {PEOPLE}{sql}" if sql.startswith(",") else f"WITH {PEOPLE} {sql}")(run)
 
 
 PAIR = "SELECT c.id AS c_id, c.name AS c_name, n.id AS n_id, n.name AS n_name FROM c"
@@ -138,6 +138,14 @@ join(
 join("join_where", "FETCH c.id, n.name FROM customers AS c LEFT JOIN nations AS n ON c.nation_id = n.id WHERE n.name IS NULL AND c.balance > 0;", f"SELECT c.id AS c_id, n.name AS n_name FROM c LEFT {ON} WHERE n.name IS NULL AND c.balance > 0")
 join("join_order_limit", "FETCH c.id, c.balance, n.name FROM customers AS c JOIN nations AS n ON c.nation_id = n.id ORDER BY c.balance DESC LIMIT 25;", f"SELECT c.id AS c_id, c.balance AS c_balance, n.name AS n_name FROM c {ON} ORDER BY c.balance DESC, c.id LIMIT 25")
 
+KEYED = "k AS (SELECT *, row_number() OVER (PARTITION BY nation_id ORDER BY id) AS k FROM c)"
+for how in ("RIGHT", "FULL"):
+    join(
+        f"join_{how.lower()}_field",
+        f"FETCH n.id, c.id FROM nations AS n {how} JOIN customers AS c ON n.id = c.nation_id;",
+        f", {KEYED} SELECT n.id AS n_id, k.id AS c_id FROM na AS n {how} JOIN k ON n.id = k.nation_id AND k.k = 1",
+    )
+
 PLACED = """c AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name FROM customer), o AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_totalprice AS price FROM orders),
     e AS (SELECT CAST(o_custkey AS VARCHAR) AS src, CAST(o_orderkey AS VARCHAR) AS dst, round(1 - (o_orderkey % 97) / 100.0, 6) AS confidence FROM orders),
     b AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY confidence DESC, dst) AS k FROM e WHERE confidence >= {})"""
@@ -398,20 +406,12 @@ infer("infer_all_types", "INFER EDGES FROM '0' RETURNING ALL;", f"{PROPOSED}, a
 
 @query(
     """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), k AS (SELECT vec_id, sqrt(sum(x * x)) AS k FROM e GROUP BY vec_id),
-    s AS (SELECT a.vec_id AS a, b.vec_id AS b, sum(a.x * b.x) AS d FROM e a JOIN e b USING (i) WHERE a.vec_id < 20 AND a.vec_id <> b.vec_id GROUP BY a.vec_id, b.vec_id),
+    s AS (SELECT a.vec_id AS a, b.vec_id AS b, sum(a.x * b.x) AS d FROM e a JOIN e b USING (i) WHERE a.vec_id <> b.vec_id GROUP BY a.vec_id, b.vec_id),
     c AS (SELECT CAST(a AS VARCHAR) AS src, CAST(b AS VARCHAR) AS dst, d / x.k / y.k AS confidence FROM s JOIN k x ON x.vec_id = a JOIN k y ON y.vec_id = b),
     r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY confidence DESC, dst) AS n FROM c WHERE confidence >= 0.15) SELECT src, dst, round(confidence, 5) AS confidence FROM r WHERE n <= 3"""
 )
 def auto_infer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "vec_id", "embedding")
-    batch = [(r.id, r.embedding) for r in items.filter("vec_id < 20").collect()]
-    near = inference.nearest_targets(batch, items, "embedding", spark.createDataFrame([], "src string, dst string"), 3, 0.15)
-    return near.withColumn("confidence", F.round("confidence", 5))
-
-
-@query(ORACLES["auto_infer_batch"].replace("a.vec_id < 20 AND ", ""))
-def auto_infer_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all embeddings, as auto_infer_batch is of the first twenty."""
+    """Of all embeddings, in batches."""
     items = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding")
     near = inference.sweep(items, items, "embedding", spark.createDataFrame([], "src string, dst string"), 3, 0.15)
     return near.withColumn("confidence", F.round("confidence", 5))
@@ -489,6 +489,37 @@ written("alter_rename", "SELECT id, balance AS money FROM c", "ALTER COLLECTION
 written("alter_drop", "SELECT id, name, nation_id, segment FROM c", "ALTER COLLECTION customers DROP FIELD balance;", "FETCH * FROM customers;")
 
 
+written("alter_add_representation", "SELECT id, name FROM c", "ALTER COLLECTION customers ADD REPRESENTATION r DIMENSIONS 4 METRIC COSINE;", "FETCH name FROM customers;")
+written("checkpoint_keeps_rows", "SELECT id, CASE WHEN id = '7' THEN 'changed' ELSE name END AS name FROM c", "UPDATE '7' IN customers SET name = 'changed';", "CHECKPOINT;", "FETCH name FROM customers;")
+written("full_scan_hint", "SELECT id, name FROM c WHERE segment = 'BUILDING'", "FETCH /*+ FORCE_FULL_SCAN */ name FROM customers WHERE segment = 'BUILDING';")
+written("fetch_like_prefix", "SELECT id, name FROM c WHERE name LIKE 'Customer#00000001%'", "FETCH name FROM customers WHERE name LIKE 'Customer#00000001%';")
+
+
+def recovering(name: str, sql: str, *texts: str) -> None:
+    """Statements in one engine, then definitions and the log's rows in another over the same folder."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = f"{_scratch(spark)}/engine"
+        table(spark, sf_dir, "nation").selectExpr("cast(n_nationkey as string) as id", "n_name as name", "n_regionkey as region").write.json(f"{folder}-in")
+        first = Engine(spark, folder)
+        for t in ("CREATE COLLECTION nations (FIELD name TEXT, FIELD region INT);", f"IMPORT INTO nations FROM '{folder}-in';", "INSERT INTO nations (id, name, region) VALUES ('x', 'more', 9);", *texts):
+            first.execute(t)
+        again = Engine(spark, folder)
+        named = [f for f in first.catalog.collection("nations").table.schema.names if f in ("title", "name")][0]
+        again.execute(f"CREATE COLLECTION nations (FIELD {named} TEXT, FIELD region INT);")
+        again.recover()
+        return again.execute(f"FETCH {named}, region FROM nations;").frame.withColumnRenamed(named, "name")
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+NATIONS = "SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, n_regionkey::BIGINT AS region FROM nation"
+recovering("recover_after_import", f"{NATIONS} UNION ALL SELECT 'x', 'more', 9")
+recovering("recover_after_rename", f"{NATIONS} UNION ALL SELECT 'x', 'more', 9", "ALTER COLLECTION nations RENAME FIELD name TO title;")
+recovering("recover_after_drop", "SELECT 'y' AS id, 'only' AS name, 1::BIGINT AS region", "DROP COLLECTION nations;", "CREATE COLLECTION nations (FIELD name TEXT, FIELD region INT);", "INSERT INTO nations (id, name, region) VALUES ('y', 'only', 1);")
+
+
 @query("SELECT CAST(o_custkey AS VARCHAR) AS src, count(*) AS n FROM orders WHERE o_custkey <> 7 GROUP BY o_custkey")
 def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = placed(spark, sf_dir)

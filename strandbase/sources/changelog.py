@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import time
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,7 @@ class ChangeLog:
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark, self.folder, self.lsn, self.tx = spark, folder, 0, 0
         self.recent: list[dict[str, Any]] = []
+        self.bulk: list[DataFrame] = []
         if folder:
             os.makedirs(folder, exist_ok=True)
             if any(x.endswith(".json") for x in os.listdir(folder)):
@@ -41,13 +43,29 @@ class ChangeLog:
                 f.writelines(json.dumps(r) + "\n" for r in rows)
             os.replace(f"{self.folder}/_{self.tx}.tmp", name)
         else:
-            self.recent = [*self.recent, *rows][-10_000:]
+            self.recent += rows
         return self.tx
 
+    def commit_rows(self, record: str, collection: str, rows: DataFrame, now_ms: int | None = None) -> int:
+        """Append a table with key and payload as one transaction, written by the tasks that hold its rows; its number.
+
+        All rows have one lsn. Its end is committed after them, so a reader sees all of them or none.
+        """
+        now = int(time.time() * 1000) if now_ms is None else now_ms
+        self.tx, self.lsn = self.tx + 1, self.lsn + 1
+        bulk = rows.select(F.lit(self.lsn).cast("long").alias("lsn"), F.lit(self.tx).cast("long").alias("tx_id"), F.lit(now).cast("long").alias("ts"), F.lit(record).alias("record"), F.lit(collection).alias("collection"), "key", "payload")
+        if self.folder:
+            path = f"{self.folder}/bulk-{self.tx:020d}"
+            bulk.write.mode("overwrite").json(path)
+        else:
+            self.bulk.append(bulk)
+        self.tx -= 1
+        return self.commit([], now_ms)
+
     def frame(self) -> DataFrame:
         if self.folder:
-            return self.spark.read.schema(SCHEMA).json(self.folder)
-        return self.spark.createDataFrame([tuple(r[f.name] for f in SCHEMA) for r in self.recent], SCHEMA)
+            return self.spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(self.folder)
+        return reduce(DataFrame.unionByName, self.bulk, self.spark.createDataFrame([tuple(r[f.name] for f in SCHEMA) for r in self.recent], SCHEMA))
 
 
 def committed(log: DataFrame) -> DataFrame:
@@ -65,7 +83,7 @@ def latest(log: DataFrame, keys: tuple[str, ...] = ("collection", "key"), order:
 
 def state(log: DataFrame) -> DataFrame:
     """collection, key, lsn, payload of what is there after all committed changes; replaying twice gives the same."""
-    rows = committed(log).filter(F.col("record").isin(*WRITES, *DELETES)).dropDuplicates(["lsn"])
+    rows = committed(log).filter(F.col("record").isin(*WRITES, *DELETES)).dropDuplicates(["lsn", "collection", "key"])
     now = latest(rows.select("collection", "key", "lsn", "record", "payload"))
     return now.filter(F.col("record").isin(*WRITES)).select("collection", "key", "lsn", "payload")
 
@@ -77,9 +95,25 @@ def recent_after_checkpoint(log: DataFrame) -> DataFrame:
 
 
 def rows_of(log: DataFrame, collection: str, schema: T.StructType) -> DataFrame:
-    """The rows of one collection after all committed changes, with the columns of ``schema``."""
-    kept = committed(log).filter((F.col("collection") == collection) & F.col("record").isin(*WRITES, *DELETES))
+    """The rows of one collection after all committed changes, with the columns of ``schema``.
+
+    Only what was written since it was last dropped counts, and fields that were renamed since a row was written are
+    read by the name they had then.
+    """
+    own = committed(log).filter(F.col("collection") == collection)
+    defined = own.filter(F.col("record").isin("SchemaDropColl", "SchemaDropEdgeType", "SchemaAlter")).select("lsn", "record", "payload").orderBy("lsn").collect()  # a row a definition
+    since = max((r.lsn for r in defined if r.record != "SchemaAlter"), default=-1)
+    renamed = [(r.lsn, a["old"], a["new"]) for r in defined if r.lsn > since and r.record == "SchemaAlter" and (a := json.loads(r.payload)).get("op") == "RENAME_FIELD" and "old" in a]
+    kept = own.filter((F.col("lsn") > since) & F.col("record").isin(*WRITES, *DELETES))
     now = latest(kept.select("key", "lsn", "tx_id", "record", "payload"), ("key",)).filter(F.col("record").isin(*WRITES))
-    rows = now.select("tx_id", F.from_json("payload", schema).alias("r")).select("tx_id", "r.*")
+    kinds, wide = {f.name: f.dataType for f in schema}, T.StructType(list(schema.fields))
+    for _, old, new in reversed(renamed):
+        if old not in kinds and new in kinds:
+            kinds[old] = kinds[new]
+            wide = wide.add(old, kinds[new])
+    rows = now.select("tx_id", "lsn", F.from_json("payload", wide).alias("r")).select("tx_id", F.col("lsn").alias("__lsn"), "r.*")
+    for lsn, old, new in renamed:
+        if old in rows.columns and new in rows.columns:
+            rows = rows.withColumn(new, F.when(F.col("__lsn") < lsn, F.col(f"`{old}`")).otherwise(F.col(f"`{new}`")))
     stamped = [F.coalesce(F.col("tx_time"), F.col("tx_id")).alias(c) if c == "tx_time" else F.col(f"`{c}`") for c in schema.names]
     return rows.select(*stamped)

@@ -35,7 +35,7 @@ def test_registered_sweep_covers_all_embeddings(spark):
     np.fill_diagonal(s, -1)
     best = -np.sort(-s, axis=1)[:, :3]
     got: dict = {}
-    for r in queries.auto_infer_sweep(spark, SF).collect():
+    for r in queries.auto_infer_batch(spark, SF).collect():
         got.setdefault(int(r.src), []).append(r.confidence)
     assert len(v) > inference.BATCH
     for r, row in zip(v, best):
