@@ -191,16 +191,15 @@ class Class:
         """Of each gram; ``own`` has the document of each whose counts are to be left out, -1 for none."""
         count, at = self.counts[self.grams.find(gram)], self.contexts.find(context)
         total, kinds = self.totals[at], self.kinds[at]
-        if own is not None:
-            mine = own >= 0
-            mixed = _spread(own + 1)
-            _, first, of = np.unique(_spread(gram) ^ mixed, return_index=True, return_inverse=True)
-            count = np.maximum(count - np.where(mine, np.bincount(of)[of], 0), 0)
-            gone = np.zeros(len(gram), bool)  # grams that no other document has
+        if own is not None and len(mine := np.flatnonzero(own >= 0)):
+            document = _spread(own[mine] + 1)
+            _, first, of = np.unique(_spread(gram[mine]) ^ document, return_index=True, return_inverse=True)
+            count[mine] = np.maximum(count[mine] - np.bincount(of)[of], 0)
+            gone = np.zeros(len(mine), bool)  # grams that no other document has
             gone[first] = True
-            _, of = np.unique(_spread(context) ^ mixed, return_inverse=True)
-            kinds = np.maximum(kinds - np.where(mine, np.bincount(of, gone & (count <= 0))[of], 0), 0)
-            total = np.maximum(total - np.where(mine, np.bincount(of)[of], 0), 0)
+            _, of = np.unique(_spread(context[mine]) ^ document, return_inverse=True)
+            kinds[mine] = np.maximum(kinds[mine] - np.bincount(of, gone & (count[mine] <= 0))[of], 0)
+            total[mine] = np.maximum(total[mine] - np.bincount(of)[of], 0)
         share = np.maximum(count - self.discount, 0) / np.maximum(total, 1)
         return np.where(total > 0, np.minimum(share, 1) + np.minimum(self.discount * kinds / np.maximum(total, 1), 1) * lower, lower)
 
