@@ -10,7 +10,7 @@ Codes are searched in blocks of different codes; of one code only its k smallest
 every block, in parts of QUERIES_A_TASK; each block gives at most k rows a query, and these are merged. Shuffled are
 N * ceil(Q / QUERIES_A_TASK) codes and Q * ceil(N / BLOCK_CODES) queries of N codes and Q queries.
 
-Defined results: rows without a vector (or with an empty one) or id take no part; a vector has the same code as an equal one; neighbours are
+Defined results: rows without a vector or id take no part; an empty vector has no bit set; a vector has the same code as an equal one; neighbours are
 ordered by distance, then id; a query is not its own neighbour, other rows with its code are; with fewer than k other
 rows all are returned; an empty table gives no row.
 """
@@ -38,7 +38,7 @@ def sign_codes(vectors: DataFrame, id_column: str = "vec_id", vector: str = "emb
     """id and code: bit i is set where element i of the first 64 is above zero."""
     bits = F.transform(F.slice(vector, 1, BITS), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     code = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-    return vectors.filter(F.col(id_column).isNotNull() & (F.size(vector) > 0)).select(F.col(id_column).cast("long").alias("id"), code.alias("code"))
+    return vectors.filter(F.col(id_column).isNotNull() & F.col(vector).isNotNull()).select(F.col(id_column).cast("long").alias("id"), code.alias("code"))
 
 
 def code_classes(codes: DataFrame, k: int) -> DataFrame:

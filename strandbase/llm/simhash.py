@@ -276,15 +276,18 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = BUDGET, many:
 
 def first_of_each(docs: DataFrame, words: int = 5, budget: int = 7, many: int = 4, apart: int = 39) -> DataFrame:
     """The documents without near copies of others: of each component the first one stays, repeated rows of it once.
+    Rows without a doc_id are left alone.
 
     Four fingerprints of 64 bits over shingles of five words: 39 of 256 bits are what a Jaccard similarity of 0.8 gives
     on average. Of copies that similar, those are found that differ in at most seven bits in one of the four.
     """
-    groups = near_duplicates(docs, words, budget, many, apart)
-    same = (F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("text_key") == F.col("first.text_key"))
-    stay = groups.filter(same).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    keyed = docs.withColumn("__text_key", F.xxhash64(text_or_empty(docs))).dropDuplicates(["doc_id", "__text_key"])
-    return keyed.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left_semi").select(*docs.columns)
+    known = docs.filter(F.col("doc_id").isNotNull())
+    groups = near_duplicates(known, words, budget, many, apart)
+    stay = groups.filter((F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")))
+    stay = stay.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    keyed = known.withColumn("__text_key", F.xxhash64(text_or_empty(docs))).dropDuplicates(["doc_id", "__text_key"])
+    kept = keyed.join(stay, (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left_semi").select(*docs.columns)
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
