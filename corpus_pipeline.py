@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences: five stages over the documents table.
 
 Every stage but the last returns the columns of its input. Near-dedup compares texts: rows with one doc_id and different
-texts are different documents, repeated rows are one, and a null doc_id comes after all others.
+texts are different documents, repeated rows are one, and rows with a null doc_id are left alone.
 """
 
 from __future__ import annotations
