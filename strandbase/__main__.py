@@ -27,6 +27,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("--rows", type=int, default=1000, help="most rows to print of a result")
     a = p.parse_args(argv)
     engine = Engine(spark or SparkSession.builder.getOrCreate(), a.folder)
+    if a.folder and engine.log.lsn:
+        engine.recover()
     for entry in a.table:
         name, _, rest = entry.partition("=")
         path, _, key = rest.rpartition(":") if ":" in rest.rsplit("/", 1)[-1] else (rest, "", "id")

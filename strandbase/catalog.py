@@ -31,7 +31,7 @@ class Table:
         self.base = base if base is not None else spark.createDataFrame([], schema)
         self.schema = T.StructType(list(self.base.schema.fields))
         self.changes: dict[tuple, dict[str, Any] | None] = {}
-        self.version = 0
+        self.version, self.written = 0, None  # the last version, and where it lies
 
     def frame(self) -> DataFrame:
         if not self.changes:
@@ -71,7 +71,7 @@ class Table:
         if self.folder:
             path = self._next_path()
             df.write.mode("errorifexists").parquet(path)
-            df = self.spark.read.parquet(path)
+            df, self.written = self.spark.read.parquet(path), path
         self.base, self.changes, self.schema = df, {}, T.StructType(list(df.schema.fields))
 
     def _next_path(self) -> str:
@@ -133,6 +133,11 @@ class Collection:
     def frame(self) -> DataFrame:
         return self.table.frame()
 
+    def definition(self) -> dict[str, Any]:
+        """All but the rows and the credentials, as what JSON can hold."""
+        parts = {k: [n.plain(x) for x in getattr(self, k).values()] for k in ("representations", "fields", "indexes")}
+        return parts | {"settings": {k: v for k, v in self.settings.items() if k != "auth"}, "schema": self.table.schema.jsonValue()}
+
     def representation(self, sparse: bool, using: str | None = None) -> n.RepresentationDecl:
         if using is not None:
             if using not in self.representations:
@@ -160,6 +165,9 @@ class EdgeType:
     def frame(self) -> DataFrame:
         return self.table.frame()
 
+    def definition(self) -> dict[str, Any]:
+        return {"source": self.source, "target": self.target, "decay": n.plain(self.decay), "inference": n.plain(self.inference)}
+
 
 class Catalog:
     def __init__(self):

@@ -249,15 +249,37 @@ class Engine:
             schema = schema.add(r.name, SPARSE if r.sparse else DENSE)
         for name, kind in SYSTEM.items():
             schema = schema.add(name, kind)
-        table = Table(self.spark, schema, folder=f"{self.folder}/data/{s.name}" if self.folder else None)
-        self.catalog.collections[s.name] = Collection(s.name, table, {r.name: r for r in s.representations}, {f.name: f for f in s.fields}, {i.name: i for i in s.indexes}, dict(s.settings))
-        for r in s.representations:
-            if r.fields and s.settings.get("vectoriser", "hash") == "hash" and not r.sparse:
-                self.vectorisers.setdefault((s.name, r.name), HashVectoriser(r.dimensions or 8))
-        self.log.commit([("SchemaCreateColl", s.name, s.name, {"settings": {k: v for k, v in s.settings.items() if k != "auth"}})], self.clock())
+        c = self._define(s.name, schema, s.representations, s.fields, s.indexes, s.settings)
+        self.log.commit([("SchemaCreateColl", c.name, c.name, {"definition": c.definition()})], self.clock())
         self._tell("created", s.name)
         return self._done(f"collection {s.name} created")
 
+    def _define(self, name: str, schema: T.StructType, representations, fields, indexes, settings: dict[str, str]) -> Collection:
+        table = Table(self.spark, schema, folder=f"{self.folder}/data/{name}" if self.folder else None)
+        c = Collection(name, table, {r.name: r for r in representations}, {f.name: f for f in fields}, {i.name: i for i in indexes}, dict(settings))
+        self.catalog.collections[name] = c
+        for r in representations:
+            if r.fields and settings.get("vectoriser", "hash") == "hash" and not r.sparse:
+                self.vectorisers.setdefault((name, r.name), HashVectoriser(r.dimensions or 8))
+        return c
+
+    def _define_edge(self, name: str, source: str, target: str, decay: n.DecayDecl | None, inference: n.InferenceDecl | None) -> EdgeType:
+        table = Table(self.spark, EDGE, ("src", "dst"), folder=f"{self.folder}/edges/{name}" if self.folder else None)
+        self.catalog.edges[name] = EdgeType(name, source, target, table, decay, inference or n.InferenceDecl())
+        return self.catalog.edges[name]
+
+    def _altered(self, c: Collection, op: str, **args) -> tuple[str, str, str, Any]:
+        """The log's record of a collection's definition as it is now."""
+        return ("SchemaAlter", c.name, c.name, {"op": op, **args, "definition": c.definition()})
+
+    def _fitted(self, c: Collection, row: dict[str, Any]) -> list[tuple[str, str, str, Any]]:
+        """Columns for what a row brings; a record where that changed the table."""
+        before = c.table.schema
+        for name, value in row.items():
+            if not name.startswith("_"):
+                c.table._fit(name, value)
+        return [self._altered(c, "ADD_FIELD")] if c.table.schema != before else []
+
     def _tell(self, what: str, name: str) -> None:
         for hook in self.hooks:
             hook(what, name)
@@ -267,9 +289,8 @@ class Engine:
             raise E.EdgeTypeExists(s.name)
         for c in (s.source, s.target):
             self.catalog.collection(c)
-        table = Table(self.spark, EDGE, ("src", "dst"), folder=f"{self.folder}/edges/{s.name}" if self.folder else None)
-        self.catalog.edges[s.name] = EdgeType(s.name, s.source, s.target, table, s.decay, s.inference or n.InferenceDecl())
-        self.log.commit([("SchemaCreateEdgeType", s.name, s.name, {"source": s.source, "target": s.target})], self.clock())
+        e = self._define_edge(s.name, s.source, s.target, s.decay, s.inference)
+        self.log.commit([("SchemaCreateEdgeType", e.name, e.name, {"definition": e.definition()})], self.clock())
         return self._done(f"edge type {s.name} created")
 
     def _create_affinity_group(self, s: n.CreateAffinityGroup) -> DataFrame:
@@ -328,7 +349,7 @@ class Engine:
                 self._soil(c, d.name)
             else:
                 c.representations[d.name] = replace(d, model=a["model"])
-        self.log.commit([("SchemaAlter", c.name, c.name, {"op": s.op, **{k: v for k, v in a.items() if isinstance(v, str)}})], self.clock())
+        self.log.commit([self._altered(c, s.op, **{k: v for k, v in a.items() if isinstance(v, str)})], self.clock())
         self._tell("altered", c.name)
         return self._done(f"collection {c.name} altered")
 
@@ -362,7 +383,7 @@ class Engine:
         if not s.replace:
             row["valid_from"] = None if s.valid_from is None else millis(s.valid_from)
             row["valid_to"] = None if s.valid_to is None else millis(s.valid_to)
-        tx = self.log.commit([("EntityWrite", c.name, row["id"], row)], self.clock())
+        tx = self.log.commit([*self._fitted(c, row), ("EntityWrite", c.name, row["id"], row)], self.clock())
         row["tx_time"], row["_tier"], row["_dirty"] = tx, "hot", []
         for name in ("valid_from", "valid_to", "tx_time"):
             if name not in c.table.schema.names:
@@ -398,7 +419,7 @@ class Engine:
             if "_dirty" not in c.table.schema.names:
                 c.table.add("_dirty", SYSTEM["_dirty"])
             row["_dirty"] = sorted({*(row.get("_dirty") or []), *due})
-        self.log.commit([("EntityWrite", c.name, s.id, row), *[("ReprDirty", c.name, s.id, {"representation": r}) for r in due]], self.clock())
+        self.log.commit([*self._fitted(c, row), ("EntityWrite", c.name, s.id, row), *[("ReprDirty", c.name, s.id, {"representation": r}) for r in due]], self.clock())
         c.table.put(row)
         self._enqueue(c.name, s.id)
         return self._done(f"{s.id} updated")
@@ -460,25 +481,43 @@ class Engine:
 
     def _demote(self, s: n.Demote) -> DataFrame:
         c = self.catalog.collection(s.collection)
-        row = self._entity(c, s.id)
+        self._move(c, [self._demoted(c, self._entity(c, s.id), s.tier)])
+        return self._done(f"{s.id} moved to {s.tier}")
+
+    def _demoted(self, c: Collection, row: dict[str, Any], tier: str) -> dict[str, Any]:
+        """A row as it is on a colder tier."""
         order = ["hot", "warm", "archive"]
         now = row.get("_tier") or "hot"
-        if order.index(s.tier) <= order.index(now):
-            raise E.InvalidStateTransition(f"{s.id} is {now} and can't move to {s.tier}")
+        if order.index(tier) <= order.index(now):
+            raise E.InvalidStateTransition(f"{row['id']} is {now} and can't move to {tier}")
         cold = json.loads(row.get("_cold") or "{}")
         for r in c.representations.values():
             vector = row.get(r.name) if not r.sparse else None
             if vector is None and r.name in cold:
                 vector = _thaw(cold[r.name])
             if vector is not None:
-                cold[r.name] = _freeze(vector, s.tier)
+                cold[r.name] = _freeze(vector, tier)
                 row[r.name] = None
+        return row | {"_tier": tier, "_cold": json.dumps(cold)}
+
+    def _move(self, c: Collection, rows: list[dict[str, Any]]) -> None:
+        """Rows on their new tier, in one transaction."""
         for name in ("_tier", "_cold"):
             if name not in c.table.schema.names:
                 c.table.add(name, T.StringType())
-        c.table.put(row | {"_tier": s.tier, "_cold": json.dumps(cold)})
-        self.log.commit([("TierMigration", c.name, s.id, {"to": s.tier})], self.clock())
-        return self._done(f"{s.id} moved to {s.tier}")
+        self.log.commit([x for r in rows for x in (("TierMigration", c.name, r["id"], {"to": r["_tier"]}), ("EntityWrite", c.name, r["id"], r))], self.clock())
+        for r in rows:
+            c.table.put(r)
+
+    def migrate_idle(self, collection: str, access: DataFrame, **rules) -> int:
+        """One round of moves to colder tiers by ``access`` (id, membership, last_access in ms); how many rows moved."""
+        c = self.catalog.collection(collection)
+        tiers = c.frame.select("id", *(["_tier"] if "_tier" in c.table.schema.names else [F.lit("hot").alias("_tier")]))
+        due = {r.id: r.to_tier for r in placement.tier_cycle(tiers.join(access, "id"), self.clock(), **rules).collect()}  # two batches at most
+        if due:
+            found = c.frame.filter(F.col("id").isin(*due)).collect()
+            self._move(c, [self._demoted(c, r.asDict(recursive=True), due[r.id]) for r in found])
+        return len(due)
 
     def _promote(self, s: n.Promote) -> DataFrame:
         c = self.catalog.collection(s.collection)
@@ -486,17 +525,19 @@ class Engine:
         if (row.get("_tier") or "hot") == "hot":
             raise E.InvalidStateTransition(f"{s.id} is hot")
         cold = json.loads(row.get("_cold") or "{}")
-        c.table.put(row | {k: _thaw(v) for k, v in cold.items()} | {"_tier": "hot", "_cold": None})
-        self.log.commit([("TierMigration", c.name, s.id, {"to": "hot"})], self.clock())
+        self._move(c, [row | {k: _thaw(v) for k, v in cold.items()} | {"_tier": "hot", "_cold": None}])
         return self._done(f"{s.id} moved to hot")
 
     # Operations
 
     def _checkpoint(self, s: n.Checkpoint) -> DataFrame:
+        written = {}
         for t in [*self.catalog.collections.values(), *self.catalog.edges.values()]:
-            if t.table.changes:
+            if t.table.changes or t.table.folder and t.table.written is None:
                 t.table.flush()
-        self.log.commit([("Checkpoint", "", "", None)], self.clock())
+            if t.table.written:
+                written[t.name] = t.table.written
+        self.log.commit([("Checkpoint", "", "", written)], self.clock())
         return self._said(lsn=self.log.lsn)
 
     def _backup(self, s: n.Backup) -> DataFrame:
@@ -515,11 +556,13 @@ class Engine:
 
     def _import(self, s: n.Import) -> DataFrame:
         c = self.catalog.collection(s.collection)
-        rows = read_jsonl(self.spark, s.path)
+        rows, before = read_jsonl(self.spark, s.path), c.table.schema
         for f in rows.schema.fields:
             if f.name not in c.table.schema.names:
                 c.table.add(f.name, f.dataType)
         schema = c.table.schema
+        if schema != before:
+            self.log.commit([self._altered(c, "ADD_FIELD")], self.clock())
         rows = rows.select(*[(F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
         if "tx_time" in schema.names:
             rows = rows.withColumn("tx_time", F.lit(0).cast("long"))
@@ -534,12 +577,29 @@ class Engine:
     # Upkeep
 
     def recover(self) -> int:
-        """The rows of all defined collections and edge types from the change log; how many. Replaying again changes nothing."""
+        """Definitions and rows from the change log; how many rows. Replaying again changes nothing.
+
+        A table version written at the last checkpoint is the start, where nothing was redefined since. Collections over
+        DataFrames of the caller are not in the log: those that it has no definition of are left alone.
+        """
         log, total = self.log.frame(), 0
-        for name, table in [*((c.name, c.table) for c in self.catalog.collections.values()), *((e.name, e.table) for e in self.catalog.edges.values())]:
-            rows = changelog.rows_of(log, name, table.schema)
-            table.replace(rows)
-            total += table.base.count()
+        at, versions = changelog.checkpointed(log)
+        found = changelog.definitions(log, changelog.COLLECTIONS)
+        for name, d in found.items():
+            parts = [[n.node(x) for x in d[k]] for k in ("representations", "fields", "indexes")]
+            self._define(name, T.StructType.fromJson(d["schema"]), *parts, d["settings"])
+        kinds = changelog.definitions(log, changelog.EDGE_TYPES)
+        for name, d in kinds.items():
+            self._define_edge(name, d["source"], d["target"], n.node(d["decay"]), n.node(d["inference"]))
+        for t in [*(self.catalog.collections[x] for x in found), *(self.catalog.edges[x] for x in kinds)]:
+            rows = None
+            if t.name in versions:
+                rows = changelog.rows_since(log, t.name, t.table.schema, at, self.spark.read.parquet(versions[t.name]), t.table.keys)
+            t.table.replace(changelog.rows_of(log, t.name, t.table.schema) if rows is None else rows)
+            lines = t.table.base.count()
+            total += lines
+            if isinstance(t, Collection):
+                t.rows = lines
         return total
 
     def recompute_dirty(self, collection: str) -> int:
@@ -553,6 +613,8 @@ class Engine:
                     fresh = self.vectoriser(c.name, r.name).column([f for f in r.fields if f in df.columns])
                     stale = F.coalesce(F.array_contains("_dirty", r.name), F.lit(False))
                     df = df.withColumn(r.name, F.when(stale, fresh).otherwise(F.col(r.name)))
+            made = df.filter(F.size("_dirty") > 0).withColumn("_dirty", F.array().cast("array<string>"))
+            self.log.commit_rows("ReprWrite", c.name, made.select(F.col("id").alias("key"), F.to_json(F.struct(*[F.col(f"`{x}`") for x in made.columns])).alias("payload")), self.clock())
             c.table.replace(df.withColumn("_dirty", F.array().cast("array<string>")))
         return due
 
@@ -568,9 +630,12 @@ class Engine:
             if not sources:
                 continue
             near = inference.nearest_targets(sources, target.frame, target.representation(False).name, e.frame, e.inference.limit, e.inference.confidence)
-            for r in near.collect():  # at most BATCH * limit rows
-                self._put_edge(e, self._edge_row(r.src, r.dst, r.confidence, "Inferred"), "EdgeInferred")
-                made += 1
+            rows = [self._edge_row(r.src, r.dst, r.confidence, "Inferred") for r in near.collect()]  # at most BATCH * limit
+            if rows:
+                self.log.commit([("EdgeInferred", e.name, f"{r['src']}\x1f{r['dst']}", r) for r in rows], self.clock())
+            for r in rows:
+                e.table.put(r)
+            made += len(rows)
         for k in ids:
             self.queue.pop(k, None)
         return made

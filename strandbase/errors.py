@@ -49,3 +49,11 @@ class BudgetExceeded(EngineError):
     def __init__(self, estimated: float, budget: float):
         super().__init__(f"estimated {estimated:.1f} cost units, budget {budget:.1f}")
         self.estimated, self.budget = estimated, budget
+
+
+class NoCandidates(EngineError):
+    """No node is alive."""
+
+
+class ClusterOverloaded(EngineError):
+    """Every node that is alive sheds load."""

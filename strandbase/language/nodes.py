@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, is_dataclass
 from typing import Any
 
 
+def plain(x: Any) -> Any:
+    """A node as what JSON can hold."""
+    if is_dataclass(x):
+        return {"node": type(x).__name__, **{f.name: plain(getattr(x, f.name)) for f in fields(x)}}
+    return [plain(v) for v in x] if isinstance(x, (list, tuple)) else x
+
+
+def node(x: Any) -> Any:
+    """The node that ``plain`` was given."""
+    if isinstance(x, dict) and "node" in x:
+        return globals()[x["node"]](**{k: node(v) for k, v in x.items() if k != "node"})
+    return tuple(node(v) for v in x) if isinstance(x, list) else x
+
+
 @dataclass(frozen=True)
 class Ref:
     """A field, with the alias before it where one was written."""

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import ClusterOverloaded, NoCandidates
+from ..functions import scalars
+
 TIERS = ("Hot", "Warm", "Archive")
+DAY_MS = 86_400_000
 
 
 def tier_counts(tiers: DataFrame, column: str = "_tier") -> DataFrame:
@@ -42,3 +46,29 @@ def migration_action(source_has: str, target_has: str):
     """What a migration found half done needs: of two columns of whether source and target hold the row."""
     s, t = F.col(source_has), F.col(target_has)
     return F.when(s & t, "CleanupSource").when(s, "ReExecute").when(t, "AlreadyComplete").otherwise("NoAction")
+
+
+def tier_cycle(entities: DataFrame, now_ms: int, warm_after: int = DAY_MS, archive_after: int = 7 * DAY_MS, batch: int = 100) -> DataFrame:
+    """id, from_tier, to_tier of one round of moves, of columns id, _tier, membership and last_access (ms).
+
+    Hot rows that were idle for longer than ``warm_after`` go to warm, by eviction order, warm ones idle for longer than
+    ``archive_after`` to the archive, the longest idle first; ``batch`` of either in a round, the rest in the next ones.
+    """
+    tier, idle = F.coalesce("_tier", F.lit("hot")), F.lit(now_ms) - F.col("last_access")
+    hot = eviction_order(entities.filter((tier == "hot") & (idle > warm_after))).limit(batch)
+    warm = entities.filter((tier == "warm") & (idle > archive_after)).orderBy("last_access", "id").limit(batch)
+    moves = [rows.select("id", F.lit(a).alias("from_tier"), F.lit(b).alias("to_tier")) for rows, a, b in ((hot, "hot", "warm"), (warm, "warm", "archive"))]
+    return moves[0].unionByName(moves[1])
+
+
+def route(nodes: DataFrame, shed_at: float = 0.85, stale_ms: int = 600) -> DataFrame:
+    """node and score of the nodes that may take a statement, the best first, ties by name.
+
+    Of columns node, status, silent_ms, load, verb_fit and locality. Faulted and stale nodes don't count; with none left
+    there is no candidate, with only loaded ones the cluster is overloaded. One pass over a row a node.
+    """
+    alive = nodes.filter((F.col("status") != "faulted") & (F.col("silent_ms") <= stale_ms))
+    free = alive.filter(F.col("load") < shed_at)
+    if free.isEmpty():
+        raise NoCandidates() if alive.isEmpty() else ClusterOverloaded()
+    return free.select("node", scalars.routing_score().alias("score")).orderBy(F.col("score").desc(), "node")

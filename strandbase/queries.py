@@ -8,6 +8,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -496,7 +497,7 @@ written("fetch_like_prefix", "SELECT id, name FROM c WHERE name LIKE 'Customer#0
 
 
 def recovering(name: str, sql: str, *texts: str) -> None:
-    """Statements in one engine, then definitions and the log's rows in another over the same folder."""
+    """Statements in one engine, then definitions and rows in another over the same folder, from the log alone."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder = f"{_scratch(spark)}/engine"
@@ -505,9 +506,8 @@ def recovering(name: str, sql: str, *texts: str) -> None:
         for t in ("CREATE COLLECTION nations (FIELD name TEXT, FIELD region INT);", f"IMPORT INTO nations FROM '{folder}-in';", "INSERT INTO nations (id, name, region) VALUES ('x', 'more', 9);", *texts):
             first.execute(t)
         again = Engine(spark, folder)
-        named = [f for f in first.catalog.collection("nations").table.schema.names if f in ("title", "name")][0]
-        again.execute(f"CREATE COLLECTION nations (FIELD {named} TEXT, FIELD region INT);")
         again.recover()
+        named = [f for f in again.catalog.collection("nations").table.schema.names if f in ("title", "name")][0]
         return again.execute(f"FETCH {named}, region FROM nations;").frame.withColumnRenamed(named, "name")
 
     run.__name__ = name
@@ -517,9 +517,30 @@ def recovering(name: str, sql: str, *texts: str) -> None:
 NATIONS = "SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, n_regionkey::BIGINT AS region FROM nation"
 recovering("recover_after_import", f"{NATIONS} UNION ALL SELECT 'x', 'more', 9")
 recovering("recover_after_rename", f"{NATIONS} UNION ALL SELECT 'x', 'more', 9", "ALTER COLLECTION nations RENAME FIELD name TO title;")
+MORE = f"SELECT id, CASE WHEN id = '3' THEN 'changed' ELSE name END AS name, region FROM ({NATIONS} UNION ALL SELECT 'x', 'more', 9) WHERE id <> '5'"
+recovering("recover_from_checkpoint", MORE, "CHECKPOINT;", "UPDATE '3' IN nations SET name = 'changed';", "DELETE '5' FROM nations;")
+recovering("recover_redefined_since_checkpoint", MORE, "CHECKPOINT;", "ALTER COLLECTION nations RENAME FIELD name TO title;", "UPDATE '3' IN nations SET title = 'changed';", "DELETE '5' FROM nations;")
 recovering("recover_after_drop", "SELECT 'y' AS id, 'only' AS name, 1::BIGINT AS region", "DROP COLLECTION nations;", "CREATE COLLECTION nations (FIELD name TEXT, FIELD region INT);", "INSERT INTO nations (id, name, region) VALUES ('y', 'only', 1);")
 
 
+@query("SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 1.0::DOUBLE AS confidence, 'Structural' AS source FROM nation")
+def recover_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An edge type and its edges come back from the log; a dropped one doesn't."""
+    folder = f"{_scratch(spark)}/engine"
+    first, rows = Engine(spark, folder), table(spark, sf_dir, "nation").collect()  # 25 rows
+    first.execute("CREATE COLLECTION places (FIELD name TEXT);")
+    for key in sorted({f"r{r.n_regionkey}" for r in rows} | {f"n{r.n_nationkey}" for r in rows}):
+        first.execute(f"INSERT INTO places (id, name) VALUES ('{key}', 'place');")
+    for kind in ("holds", "other"):
+        first.execute(f"CREATE EDGE {kind} FROM places TO places DECAY EXPONENTIAL RATE 0.1 FLOOR 0.2;")
+        for r in rows:
+            first.execute(f"INSERT EDGE {kind} FROM 'r{r.n_regionkey}' TO 'n{r.n_nationkey}';")
+    first.execute("DROP EDGE TYPE 'other';")
+    again = Engine(spark, folder)
+    again.recover()
+    return reduce(DataFrame.unionByName, [e.frame for e in again.catalog.edges.values()]).select("src", "dst", "confidence", "source")
+
+
 @query("SELECT CAST(o_custkey AS VARCHAR) AS src, count(*) AS n FROM orders WHERE o_custkey <> 7 GROUP BY o_custkey")
 def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = placed(spark, sf_dir)
@@ -651,6 +672,32 @@ def eviction_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placement.eviction_order(rows).limit(50)
 
 
+IDLE = f"SELECT id, membership, {NOW} - last_access * 10000000 AS last_access, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN 'hot' ELSE 'warm' END AS tier, CASE membership WHEN 'explicit' THEN 2 WHEN 'implicit' THEN 1 ELSE 0 END AS priority FROM m"
+
+
+@query(
+    f"""WITH m AS ({MEMBERS}), i AS ({IDLE}), h AS (SELECT * FROM i WHERE tier = 'hot' AND {NOW} - last_access > 86400000 ORDER BY priority, last_access, id LIMIT 100),
+    w AS (SELECT * FROM i WHERE tier = 'warm' AND {NOW} - last_access > 604800000 ORDER BY last_access, id LIMIT 100)
+    SELECT id, 'hot' AS from_tier, 'warm' AS to_tier FROM h UNION ALL SELECT id, 'warm', 'archive' FROM w"""
+)
+def tier_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    membership = F.when(k % 3 == 0, "explicit").when(k % 3 == 1, "implicit").otherwise("none")
+    rows = table(spark, sf_dir, "customer").select(k.cast("string").alias("id"), membership.alias("membership"), (F.lit(NOW) - k * 37 % 101 * 10_000_000).alias("last_access"), F.when(k % 2 == 0, "hot").otherwise("warm").alias("_tier"))
+    return placement.tier_cycle(rows, NOW)
+
+
+@query("SELECT * FROM (SELECT 'Warm' AS tier, least(100, count_if(vec_id % 5 = 0)) AS n FROM embeddings UNION ALL SELECT 'Hot', count(*) - least(100, count_if(vec_id % 5 = 0)) FROM embeddings UNION ALL SELECT 'Archive', 0)")
+def tier_cycle_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round moves a batch of the fifth of the rows that was idle."""
+    e = Engine(spark, clock=lambda: NOW)
+    rows = table(spark, sf_dir, "embeddings")
+    e.register("items", rows, id="vec_id", representations=(DENSE,))
+    idle = F.when(F.col("vec_id") % 5 == 0, 2 * placement.DAY_MS).otherwise(0)
+    e.migrate_idle("items", rows.select(F.col("vec_id").cast("string").alias("id"), F.lit("none").alias("membership"), (F.lit(NOW) - idle).alias("last_access")))
+    return e.execute("EXPLAIN TIERS items;").frame
+
+
 SHARES = "s_suppkey, (s_suppkey % 10) / 10.0 AS ram, (s_suppkey % 7) / 7.0 AS queue, (s_suppkey % 5) / 5.0 AS cpu, (s_suppkey % 3) / 3.0 AS hnsw, (s_suppkey % 2) / 2.0 AS lag"
 LOAD = "0.35 * ram + 0.30 * queue + 0.20 * cpu + 0.10 * hnsw + 0.05 * lag"
 
@@ -671,6 +718,14 @@ def routing_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("s_suppkey", F.round(scalars.routing_score(), 6).alias("score"))
 
 
+@query(f"WITH s AS (SELECT {SHARES}, s_suppkey * 100 % 900 AS silent FROM supplier) SELECT s_suppkey AS node, round((0.40 * (1.0 - ({LOAD})) + 0.30 * cpu + 0.30 * lag)::DOUBLE, 6) AS score FROM s WHERE s_suppkey % 7 <> 0 AND silent <= 600 AND {LOAD} < 0.6")
+def route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    nodes = shares(spark, sf_dir).withColumn("load", scalars.load_score()).withColumnsRenamed({"cpu": "verb_fit", "lag": "locality"})
+    nodes = nodes.withColumn("silent_ms", k * 100 % 900).withColumn("status", F.when(k % 7 == 0, "faulted").otherwise("healthy")).withColumnRenamed("s_suppkey", "node")
+    return placement.route(nodes, shed_at=0.6).select("node", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH s AS (SELECT {SHARES}, s_suppkey * 11 % 700 AS q, s_suppkey % 30 AS p, s_suppkey * 100 % 6000 AS silent FROM supplier) SELECT s_suppkey, CASE WHEN silent > 5000 THEN 'faulted' WHEN {LOAD} >= 0.85 THEN 'overloaded' WHEN cpu >= 0.75 OR ram >= 0.85 OR q >= 500 OR p >= 20 THEN 'degraded' ELSE 'healthy' END AS status FROM s")
 def node_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")

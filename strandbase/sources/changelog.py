@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import time
 from functools import reduce
 from typing import Any
@@ -15,18 +14,25 @@ from pyspark.sql import types as T
 SCHEMA = T.StructType().add("lsn", "long").add("tx_id", "long").add("ts", "long").add("record", "string").add("collection", "string").add("key", "string").add("payload", "string")
 WRITES = ("EntityWrite", "EdgeWrite", "EdgeInferred", "EdgeConfirm", "EdgeConfidenceUpdate", "ReprWrite")
 DELETES = ("EntityDelete", "EdgeDelete")
+COLLECTIONS = ("SchemaCreateColl", "SchemaAlter", "SchemaDropColl")
+EDGE_TYPES = ("SchemaCreateEdgeType", "SchemaDropEdgeType")
 
 
 class ChangeLog:
-    """One file a transaction, put in place whole, so that readers and streams see transactions or nothing."""
+    """One file a transaction, put in place whole, so that readers and streams see transactions or nothing.
+
+    ``folder`` may be in any store that Spark's Hadoop file systems reach.
+    """
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark, self.folder, self.lsn, self.tx = spark, folder, 0, 0
         self.recent: list[dict[str, Any]] = []
         self.bulk: list[DataFrame] = []
         if folder:
-            os.makedirs(folder, exist_ok=True)
-            if any(x.endswith(".json") for x in os.listdir(folder)):
+            self.path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+            self.files = self.path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            self.files.mkdirs(self.path(folder))
+            if any(x.getPath().getName().endswith(".json") for x in self.files.listStatus(self.path(folder))):
                 self.lsn, self.tx = (x or 0 for x in spark.read.schema(SCHEMA).json(folder).agg(F.max("lsn"), F.max("tx_id")).first())
 
     def commit(self, records: list[tuple[str, str, str, Any]], now_ms: int | None = None) -> int:
@@ -38,10 +44,12 @@ class ChangeLog:
             self.lsn += 1
             rows.append({"lsn": self.lsn, "tx_id": self.tx, "ts": now, "record": record, "collection": collection, "key": key, "payload": None if payload is None else json.dumps(payload, default=str, sort_keys=True)})
         if self.folder:
-            name = f"{self.folder}/tx-{self.tx:020d}.json"
-            with open(f"{self.folder}/_{self.tx}.tmp", "w") as f:
-                f.writelines(json.dumps(r) + "\n" for r in rows)
-            os.replace(f"{self.folder}/_{self.tx}.tmp", name)
+            part, whole = self.path(f"{self.folder}/_{self.tx}.tmp"), self.path(f"{self.folder}/tx-{self.tx:020d}.json")
+            out = self.files.create(part, True)
+            out.write(bytearray("".join(json.dumps(r) + "\n" for r in rows).encode()))
+            out.close()
+            if not self.files.rename(part, whole):
+                raise OSError(f"{whole.toString()} can't be written")
         else:
             self.recent += rows
         return self.tx
@@ -94,6 +102,31 @@ def recent_after_checkpoint(log: DataFrame) -> DataFrame:
     return log.join(F.broadcast(last), F.col("lsn") > F.col("from_lsn")).drop("from_lsn")  # one row
 
 
+def definitions(log: DataFrame, records: tuple[str, ...]) -> dict[str, dict[str, Any]]:
+    """What each name was last defined as, of collections or of edge types; dropped ones are left out."""
+    last = latest(committed(log).filter(F.col("record").isin(*records)).select("collection", "lsn", "record", "payload"), ("collection",))
+    found = {r.collection: json.loads(r.payload) for r in last.orderBy("lsn").collect() if "Drop" not in r.record}  # a row a definition
+    return {name: d["definition"] for name, d in found.items() if "definition" in d}
+
+
+def checkpointed(log: DataFrame) -> tuple[int, dict[str, str]]:
+    """The lsn of the last committed checkpoint and the table version of each name then; -1 and none before the first."""
+    last = committed(log).filter(F.col("record") == "Checkpoint").orderBy(F.col("lsn").desc()).select("lsn", "payload").first()
+    return (last.lsn, json.loads(last.payload or "{}")) if last else (-1, {})
+
+
+def rows_since(log: DataFrame, collection: str, schema: T.StructType, lsn: int, version: DataFrame, keys: tuple[str, ...]) -> DataFrame | None:
+    """The rows of ``version``, written at a checkpoint, with what was committed after ``lsn``; None where fields or the
+    whole collection were redefined since, which takes the whole log."""
+    own = committed(log).filter((F.col("collection") == collection) & (F.col("lsn") > lsn))
+    if not own.filter(F.col("record").isin(*COLLECTIONS, *EDGE_TYPES)).isEmpty():
+        return None
+    touched = own.filter(F.col("record").isin(*WRITES, *DELETES)).select("key").distinct()
+    held = [F.col(f"`{f.name}`") if f.name in version.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+    old = version.withColumn("key", F.concat_ws("\x1f", *keys)).join(touched, "key", "left_anti").select(*held)
+    return old.unionByName(rows_of(log.filter(F.col("lsn") > lsn), collection, schema))
+
+
 def rows_of(log: DataFrame, collection: str, schema: T.StructType) -> DataFrame:
     """The rows of one collection after all committed changes, with the columns of ``schema``.
 
