@@ -424,6 +424,49 @@ def decay_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.decay_sweep(edges, EXP, NOW).select("src", "dst", "source")
 
 
+@query(f"WITH {VECTORS} SELECT '0' AS src, id AS dst, 'Inferred' AS source, round(score, 5) AS confidence FROM s WHERE id <> '0' AND s.score >= 0.1 ORDER BY s.score DESC, id LIMIT 7")
+def infer_queued_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A written entity waits in the queue; the sweep proposes its edges and writes them."""
+    e, _ = embeddings(spark, sf_dir)
+    e.register_edges("near", "items", "items", spark.createDataFrame([], "src string, dst string"), inference=n.InferenceDecl(True, 0.1, 7))
+    e.execute("UPDATE '0' IN items SET label = 5;")
+    e.infer_queued()
+    return e.catalog.edge("near").frame.select("src", "dst", "source", F.round("confidence", 5).alias("confidence"))
+
+
+@query("SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, CASE WHEN n_nationkey % 2 = 0 THEN 1.0 ELSE 0.2 END::DOUBLE AS confidence FROM nation")
+def decay_without_creation_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges without a creation time keep their confidence; old ones are at the floor."""
+    created = F.when(F.col("n_nationkey") % 2 == 0, 0).otherwise(1)
+    edges = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst"), created.alias("created_at"))
+    e = Engine(spark, clock=lambda: NOW)
+    e.register_edges("lies_in", "nations", "regions", edges, n.DecayDecl("exponential", 0.001, 0.2))
+    return graph.effective(e.catalog.edge("lies_in").frame, e.catalog.edge("lies_in").decay, NOW).select("src", "dst", "confidence")
+
+
+def managed(spark: SparkSession, sf_dir: str) -> Engine:
+    """Nations with a vector that is made of their names; the third was renamed since."""
+    e = Engine(spark, clock=lambda: NOW)
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"), F.array(F.lit(0.5).cast("float")).alias("v"))
+    e.register("nations", rows, representations=(n.RepresentationDecl("v", dimensions=8, fields=("name",)),))
+    e.vectorisers["nations", "v"] = HashVectoriser(8)
+    e.execute("UPDATE '3' IN nations SET name = 'renamed';")
+    return e
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_nationkey = 3 AS due FROM nation")
+def update_marks_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return managed(spark, sf_dir).catalog.collection("nations").frame.select("id", F.coalesce(F.array_contains("_dirty", "v"), F.lit(False)).alias("due"))
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, false AS due, CASE WHEN n_nationkey = 3 THEN 8 ELSE 1 END::INT AS dimensions FROM nation")
+def recompute_dirty_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the row that was due is encoded anew."""
+    e = managed(spark, sf_dir)
+    e.recompute_dirty("nations")
+    return e.catalog.collection("nations").frame.select("id", (F.size(F.coalesce("_dirty", F.array().cast("array<string>"))) > 0).alias("due"), F.size("v").alias("dimensions"))
+
+
 @query("SELECT '0' AS src, '3' AS dst, 0.9::DOUBLE AS confidence, 'Confirmed' AS source UNION ALL SELECT '0', '5', 0.4::DOUBLE, 'Confirmed'")
 def confirm_edge_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, _ = embeddings(spark, sf_dir)

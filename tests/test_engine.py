@@ -22,61 +22,66 @@ def run(engine, *texts):
     return out
 
 
+#: id, name, kind, grams; the last has a name only.
+TOOLS = [("t1", "claw hammer", "hand", 560), ("t2", "drill", "power", 1800), ("t3", "club hammer", "hand", 1130), ("t4", "file", "hand", 240), ("t5", "jigsaw", "power", 2400)]
+
+
 @pytest.fixture
-def events(engine):
-    run(engine, "CREATE COLLECTION events (FIELD name TEXT, FIELD category TEXT, FIELD score INT, FIELD rate FLOAT, INDEX by_category ON (category));")
-    for i, name, kind, score in (("e1", "Jazz Night", "music", 90), ("e2", "Comedy Hour", "comedy", 75), ("e3", "Jazz Festival", "music", 95), ("e4", "Rock Concert", "music", 80)):
-        run(engine, f"INSERT INTO events (id, name, category, score) VALUES ('{i}', '{name}', '{kind}', {score});")
-    run(engine, "INSERT INTO events (id, name) VALUES ('e5', 'No score');")
+def tools(engine):
+    run(engine, "CREATE COLLECTION tools (FIELD name TEXT, FIELD kind TEXT, FIELD grams INT, FIELD price FLOAT, INDEX by_kind ON (kind));")
+    for key, name, kind, grams in TOOLS:
+        run(engine, f"INSERT INTO tools (id, name, kind, grams) VALUES ('{key}', '{name}', '{kind}', {grams});")
+    run(engine, "INSERT INTO tools (id, name) VALUES ('t6', 'unsorted');")
     return engine
 
 
 @pytest.mark.parametrize(
     "where, expected",
     [
-        ("category = 'music'", ["e1", "e3", "e4"]),
-        ("category != 'music'", ["e2", "e5"]),
-        ("score > 80", ["e1", "e3"]),
-        ("score >= 80", ["e1", "e3", "e4"]),
-        ("score < 80", ["e2"]),
-        ("score <= 80.0", ["e2", "e4"]),
-        ("NOT score > 80", ["e2", "e4", "e5"]),
-        ("NOT category = 'music'", ["e2", "e5"]),
-        ("NOT category != 'music'", ["e1", "e3", "e4"]),
-        ("category IN ('music', 'comedy')", ["e1", "e2", "e3", "e4"]),
-        ("category IN ('comedy', NULL)", ["e2", "e5"]),
-        ("NOT category IN ('music')", ["e2", "e5"]),
-        ("name LIKE 'Jazz%'", ["e1", "e3"]),
-        ("name LIKE '_o%'", ["e2", "e4", "e5"]),
-        ("score IS NULL", ["e5"]),
-        ("score IS NOT NULL AND category = 'music'", ["e1", "e3", "e4"]),
-        ("category = 'comedy' OR category = 'music' AND score > 90", ["e3"]),
-        ("nothing = 1", []),
-        ("nothing != 1", ["e1", "e2", "e3", "e4", "e5"]),
-        ("nothing IS NULL", ["e1", "e2", "e3", "e4", "e5"]),
-        ("category = NULL", ["e5"]),
-        ("category > 'd'", ["e1", "e3", "e4"]),
-        ("category > 5", []),
-        ("id = 'e2'", ["e2"]),
-        ("id > 'e2'", []),
+        ("kind = 'power'", "t2 t5"),
+        ("kind != 'power'", "t1 t3 t4 t6"),
+        ("NOT kind = 'power'", "t1 t3 t4 t6"),
+        ("NOT kind != 'power'", "t2 t5"),
+        ("grams > 1130", "t2 t5"),
+        ("grams >= 1130", "t2 t3 t5"),
+        ("grams < 560", "t4"),
+        ("grams <= 560.0", "t1 t4"),
+        ("NOT grams > 1130", "t1 t3 t4 t6"),
+        ("kind IN ('hand', 'power')", "t1 t2 t3 t4 t5"),
+        ("kind IN ('power', NULL)", "t2 t5 t6"),
+        ("NOT kind IN ('hand')", "t2 t5 t6"),
+        ("name LIKE '%hammer'", "t1 t3"),
+        ("name LIKE 'cl__ h%'", "t1 t3"),
+        ("name LIKE '_i%'", "t4 t5"),
+        ("grams IS NULL", "t6"),
+        ("grams IS NOT NULL AND kind = 'hand'", "t1 t3 t4"),
+        ("kind = 'hand' OR kind = 'power' AND grams > 1500", "t2 t5"),
+        ("colour = 1", ""),
+        ("colour != 1", "t1 t2 t3 t4 t5 t6"),
+        ("colour IS NULL", "t1 t2 t3 t4 t5 t6"),
+        ("kind = NULL", "t6"),
+        ("kind > 'i'", "t2 t5"),
+        ("kind > 5", ""),
+        ("id = 't4'", "t4"),
+        ("id > 't4'", ""),
     ],
 )
-def test_conditions(events, where, expected):
-    assert sorted(ids(run(events, f"FETCH * FROM events WHERE {where};"))) == expected
+def test_conditions(tools, where, expected):
+    assert sorted(ids(run(tools, f"FETCH * FROM tools WHERE {where};"))) == expected.split()
 
 
-def test_strict_types(spark, events):
-    events.strict = True
-    assert ids(run(events, "FETCH * FROM events WHERE score = 90.0;")) == []
-    assert ids(run(events, "FETCH * FROM events WHERE score >= 95.0;")) == []
-    assert ids(run(events, "FETCH * FROM events WHERE score > 94.5;")) == ["e3"]
+def test_strict_types(spark, tools):
+    tools.strict = True
+    assert ids(run(tools, "FETCH * FROM tools WHERE grams = 560.0;")) == []
+    assert ids(run(tools, "FETCH * FROM tools WHERE grams >= 2400.0;")) == []
+    assert ids(run(tools, "FETCH * FROM tools WHERE grams > 1800.5;")) == ["t5"]
 
 
-def test_projection_sort_and_limit(events):
-    out = run(events, "FETCH name, missing, name FROM events ORDER BY score DESC LIMIT 2;")
-    assert out.frame.columns == ["id", "name", "missing"]
-    assert ids(out) == ["e5", "e3"]  # NULL first when descending
-    assert ids(run(events, "FETCH * FROM events ORDER BY score ASC;"))[-1] == "e5"
+def test_projection_sort_and_limit(tools):
+    out = run(tools, "FETCH name, colour, name FROM tools ORDER BY grams DESC LIMIT 2;")
+    assert out.frame.columns == ["id", "name", "colour"]
+    assert ids(out) == ["t6", "t5"]  # NULL first when descending
+    assert ids(run(tools, "FETCH * FROM tools ORDER BY grams ASC;"))[-1] == "t6"
 
 
 def test_filters_reach_the_scan(spark, tmp_path):
@@ -200,22 +205,24 @@ def test_delete_cascades(items):
 
 
 def test_inference_lifecycle(engine):
-    run(engine, "CREATE COLLECTION acts (REPRESENTATION v DIMENSIONS 3 METRIC COSINE);", "CREATE COLLECTION venues (REPRESENTATION v DIMENSIONS 3 METRIC COSINE);", "CREATE EDGE performs_at FROM acts TO venues DECAY EXPONENTIAL RATE 0.001 PRUNE 0.1 INFER AUTO CONFIDENCE > 0.5 LIMIT 5;")
-    run(engine, "INSERT INTO acts (id) VALUES ('act1') REPRESENTATION v VECTOR [0.9, 0.1, 0];", "INSERT INTO venues (id) VALUES ('v1') REPRESENTATION v VECTOR [0.85, 0.15, 0];", "INSERT INTO venues (id) VALUES ('v2') REPRESENTATION v VECTOR [0, 0.1, 0.9];")
-    out = run(engine, "INFER EDGES FROM 'act1' RETURNING TOP 5;").rows()
-    assert [r["to_id"] for r in out] == ["v1", "v2"] and out[0]["edge_type"] == "performs_at"
-    assert [r["to_id"] for r in run(engine, "INFER EDGES FROM 'act1' VIA performs_at RETURNING ALL CONFIDENCE > 0.5;").rows()] == ["v1"]
-    run(engine, "CONFIRM EDGE FROM 'act1' TO 'v1' TYPE performs_at CONFIDENCE 0.9;")
-    assert ids(run(engine, "TRAVERSE performs_at FROM 'act1';")) == ["v1"]
-    assert [r["to_id"] for r in run(engine, "INFER EDGES FROM 'act1' RETURNING TOP 5;").rows()] == ["v2"]
-    history = run(engine, "EXPLAIN HISTORY 'act1' LIMIT 2;").rows()
+    run(engine, "CREATE COLLECTION dishes (REPRESENTATION taste DIMENSIONS 2 METRIC COSINE);", "CREATE COLLECTION wines (REPRESENTATION taste DIMENSIONS 2 METRIC COSINE);")
+    run(engine, "CREATE EDGE goes_with FROM dishes TO wines DECAY EXPONENTIAL RATE 0.002 PRUNE 0.3 INFER AUTO CONFIDENCE > 0.8 LIMIT 4;")
+    run(engine, "INSERT INTO dishes (id) VALUES ('stew') REPRESENTATION taste VECTOR [4, 3];")
+    run(engine, "INSERT INTO wines (id) VALUES ('red') REPRESENTATION taste VECTOR [3, 2];", "INSERT INTO wines (id) VALUES ('sweet') REPRESENTATION taste VECTOR [-1, 2];")
+    out = run(engine, "INFER EDGES FROM 'stew' RETURNING TOP 7;").rows()
+    assert [r["to_id"] for r in out] == ["red", "sweet"] and out[0]["edge_type"] == "goes_with"
+    assert [r["to_id"] for r in run(engine, "INFER EDGES FROM 'stew' VIA goes_with RETURNING ALL CONFIDENCE > 0.7;").rows()] == ["red"]
+    run(engine, "CONFIRM EDGE FROM 'stew' TO 'red' TYPE goes_with CONFIDENCE 0.75;")
+    assert ids(run(engine, "TRAVERSE goes_with FROM 'stew';")) == ["red"]
+    assert [r["to_id"] for r in run(engine, "INFER EDGES FROM 'stew' RETURNING TOP 7;").rows()] == ["sweet"]
+    history = run(engine, "EXPLAIN HISTORY 'stew' LIMIT 2;").rows()
     assert [h["trigger"] for h in history] == ["Explicit", "Explicit"]
-    run(engine, "INSERT INTO venues (id) VALUES ('v3') REPRESENTATION v VECTOR [0.9, 0.2, 0];")
-    assert engine.infer_queued() == 1  # v1 is there, v2 is below the floor
-    assert {(r["dst"], r["source"]) for r in map(lambda x: x.asDict(), engine.catalog.edge("performs_at").frame.collect())} == {("v1", "Confirmed"), ("v3", "Inferred")}
+    run(engine, "INSERT INTO wines (id) VALUES ('rose') REPRESENTATION taste VECTOR [5, 3];")
+    assert engine.infer_queued() == 1  # red is linked, sweet is below the threshold
+    held = lambda: {(r.dst, r.source) for r in engine.catalog.edge("goes_with").frame.collect()}
+    assert held() == {("red", "Confirmed"), ("rose", "Inferred")}
     engine.clock = lambda: 1_700_000_000_000 + 10_000_000
-    assert engine.sweep_decayed() == 1
-    assert [r.dst for r in engine.catalog.edge("performs_at").frame.collect()] == ["v1"]
+    assert engine.sweep_decayed() == 1 and held() == {("red", "Confirmed")}
 
 
 def test_confirm_rules(items):
