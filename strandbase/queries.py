@@ -730,7 +730,7 @@ def tier_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placement.tier_cycle(rows, NOW)
 
 
-@query("SELECT * FROM (SELECT 'Warm' AS tier, least(100, count_if(vec_id % 5 = 0)) AS n FROM embeddings UNION ALL SELECT 'Hot', count(*) - least(100, count_if(vec_id % 5 = 0)) FROM embeddings UNION ALL SELECT 'Archive', 0)")
+@query("SELECT tier, n::BIGINT AS n FROM (SELECT 'Warm' AS tier, least(100, count_if(vec_id % 5 = 0)) AS n FROM embeddings UNION ALL SELECT 'Hot', count(*) - least(100, count_if(vec_id % 5 = 0)) FROM embeddings UNION ALL SELECT 'Archive', 0)")
 def tier_cycle_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One round moves a batch of the fifth of the rows that was idle."""
     e = Engine(spark, clock=lambda: NOW)
