@@ -118,22 +118,22 @@ def text_or_empty(df: DataFrame, column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def arrow_chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Slices of the batches whose texts hold about CHUNK_CHARS bytes, with the texts; null is empty."""
+def arrow_chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of the batches whose texts hold about ``most`` bytes, with the texts; null is empty."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text)).fill_null("")
         sizes = pa.compute.binary_length(column).to_pylist()
         begin = total = 0
         for i, n in enumerate(sizes):
             total += n
-            if total >= CHUNK_CHARS or i == len(sizes) - 1:
+            if total >= most or i == len(sizes) - 1:
                 yield batch.slice(begin, i + 1 - begin), column.slice(begin, i + 1 - begin)
                 begin, total = i + 1, 0
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """arrow_chunks with the texts as Python strings."""
-    for part, texts in arrow_chunks(batches, text):
+    for part, texts in arrow_chunks(batches, text, most):
         yield part, texts.to_pylist()
 
 

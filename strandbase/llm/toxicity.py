@@ -38,6 +38,7 @@ ORDER = 7
 BITS = 9  # of a character in a key; the next 9 are in the gram's high key, and no letter has more
 SIGNS = 1 << 2 * BITS
 FIT_ROWS = 20_000
+FIT_CHARS = 200_000  # of texts read at once without their own counts: all grams of all their words are held by document
 LIMIT = 6.0  # of a word's evidence
 TELLING = 2.0  # evidence of a whole word that counts as telling
 LEVELS = np.array([1.0, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0, 6.0])  # of a whole word's evidence, whose shares of words count
@@ -309,6 +310,13 @@ def read_labelled(judge: Judge, texts: list[str], toxic: np.ndarray) -> np.ndarr
     return _by_document(np.repeat(values, times), np.repeat(sizes, times), np.bincount(doc, times, len(words)).astype(np.int64))
 
 
+def evidence_of_labelled(judge: Judge, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, label and x, the row of FEATURES, of tables with text; a few texts at a time."""
+    for part, texts in chunks(batches, most=FIT_CHARS):
+        x = read_labelled(judge, texts, part.column("label").to_numpy() == 1)
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[np.ndarray, float]:
     """Weights and intercept of a logistic curve, by damped Newton steps with a small ridge on the weights."""
     one = np.column_stack([x, np.ones(len(x))])
@@ -347,10 +355,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, column: st
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(sent.value)
-        for part, texts in chunks(batches):
-            x = read_labelled(judge, texts, part.column("label").to_numpy() == 1)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
+        yield from evidence_of_labelled(Judge(sent.value), batches)
 
     marked = text.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # at most fit_rows
     got = marked.mapInArrow(run, "doc_id long, label int, x array<double>").toPandas().sort_values("doc_id")

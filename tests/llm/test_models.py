@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandbase.llm import quality, toxicity
@@ -180,3 +181,19 @@ def test_own_counts_are_taken_off(spark):
 
 def test_words_keep_digits_and_single_letters():
     assert toxicity.words_of("An id1ot, a_b & x 42!") == ["an", "id1ot", "a_b", "x", "42"]
+
+
+def test_few_texts_are_read_at_once_without_their_own_counts():
+    """One batch of two million characters is read in short parts, with the evidence of one reading."""
+    rng = np.random.default_rng(3)
+    words = ["".join(map(chr, rng.integers(97, 123, 6))) for _ in range(4000)]
+    texts, seen = [" ".join(rng.choice(words, 500)) for _ in range(600)], []
+
+    def judge(words, docs=None, toxic=None):
+        seen.append(sum(map(len, words)) + len(words))
+        return np.array([ord(w[0]) % 7 - 3 for w in words], float)
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(600), "text": texts, "label": [i % 2 for i in range(600)]})
+    got = pa.Table.from_batches(toxicity.evidence_of_labelled(judge, iter([batch])))
+    assert got.num_rows == 600 and max(seen) < toxicity.FIT_CHARS + 4000 and sum(seen) > 1_900_000
+    assert np.allclose(np.array(got["x"].to_pylist()), toxicity.read_labelled(judge, texts, np.arange(600) % 2 == 1))
