@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -119,3 +120,36 @@ def test_many_blocks_and_a_common_code(spark, monkeypatch):
         d = np.bitwise_count(c ^ c[q]).astype(int)
         expected = [(int(i), int(d[i])) for i in np.lexsort((np.arange(500), d)) if i != q][:7]
         assert [(r.id, r.distance) for r in sorted((r for r in out if r.query_id == q), key=lambda r: r["rank"])] == expected
+
+
+def test_a_search_holds_only_what_may_be_nearest():
+    """On random codes a third of the block is looked at for each query; it must not be kept."""
+    rng = np.random.default_rng(3)
+    codes = np.unique(rng.integers(0, 2**63, 100_000).astype(np.uint64) << np.uint64(1))
+    tracemalloc.start()
+    mih.search_block(codes, codes[:300], 11)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+
+
+@pytest.mark.parametrize("at_once", [500_000, 50])
+def test_nearest_rows_break_ties_by_id(monkeypatch, at_once):
+    """Codes that nearly all tie, some with several ids, in small parts and whole."""
+    monkeypatch.setattr(mih, "AT_ONCE", at_once)
+    monkeypatch.setattr(mih, "QUERIES_AT_ONCE", 7)
+    rng = np.random.default_rng(4)
+    codes = rng.permutation(np.array([1 << a | 1 << b for a in range(24) for b in range(a)], np.uint64))
+    many = rng.integers(1, 4, len(codes))
+    ids = rng.permutation(10 * many.sum())[: many.sum()]
+    ends = np.cumsum(many)
+    for end, n in zip(ends, many):
+        ids[end - n : end].sort()
+    row_codes = np.repeat(codes, many)
+    asked = np.arange(0, len(ids), 20)
+    got = mih.nearest_rows(codes, ids, ends, row_codes[asked], ids[asked], 5)
+    for a in asked:
+        d = np.bitwise_count(row_codes ^ row_codes[a]).astype(int)
+        expected = [(int(ids[i]), int(d[i])) for i in np.lexsort((ids, d)) if i != a][:5]
+        mine = got[0] == ids[a]
+        assert list(zip(got[1][mine].tolist(), got[2][mine].tolist())) == expected
