@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text handled at once inside a Python task.
 CHUNK_CHARS = 2_000_000
+#: Short rows of a staged table in one file and task.
+ROWS_A_FILE = 200_000
 
 _staged: list[tuple[object, str]] = []
 
@@ -54,10 +56,16 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again: cuts lineage, survives lost executors."""
+def stage(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it again: cuts lineage, survives lost executors.
+
+    Of a table known to have at most ``rows`` short rows, no more files are written than there are cores or
+    ROWS_A_FILE asks for: each file costs the executor some processes, which share all of its memory as they start.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_FILE)))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -235,21 +235,21 @@ def _first_of(nodes: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarr
     return out
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and root (the least node reachable) of every node that an edge has."""
-    edges = stage(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """node and root (the least node reachable) of every node that an edge has; ``most``: no more edges than that."""
+    edges = stage(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", most)
+    mark, most = None, edges.count()  # no round makes more
     while True:
         # Large star: larger neighbours of a node move to the least of its neighbours and itself.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = stage(large, "star")
+        large = stage(large, "star", most)
         # Small star: a node and its smaller neighbours move to the least of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a")
         small = moved.filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = stage(small.distinct(), "star")
+        edges = stage(small.distinct(), "star", most)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break
@@ -265,8 +265,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = BUDGET, many:
     names = [f"f{k}" for k in range(many)]
     node = F.col("f0") if many == 1 else F.xxhash64(*names)
     key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
-    classes = stage(rows.groupBy(*names).agg(F.min(key).alias("least")).withColumn("node", node), "classes")
-    roots = stage(components(links(classes.select("node", *names), budget, apart)), "roots").withColumnRenamed("node", "linked")
+    classes = stage(rows.groupBy(*names).agg(F.min(key).alias("least")).withColumn("node", node), "classes", rows.count())
+    # A forest of each turn of each fingerprint, unless a subtree is dealt out further; twice as many rows as nodes at most.
+    n = classes.count()
+    roots = stage(components(links(classes.select("node", *names), budget, apart), n * many * (budget + 1)), "roots", 2 * n).withColumnRenamed("node", "linked")
     joined = classes.join(roots, F.col("node") == F.col("linked"), "left").select(*names, "least", "root")
     linked = joined.filter(F.col("root").isNotNull())
     ids = linked.groupBy("root").agg(F.min("least").alias("first"))

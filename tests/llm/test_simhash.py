@@ -1,4 +1,5 @@
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -157,3 +158,31 @@ def test_near_copies_share_a_component(spark, documents):
         least[expected[f]] = min(least.get(expected[f], i), i)
     assert all(got[i].fingerprint == f"{f:016x}" and got[i].component_id == least[expected[f]] for i, f in fps.items())
     assert all(got[10_000 + r.doc_id].component_id <= r.doc_id for r in long)
+
+
+def test_small_tables_are_written_in_few_files(spark, monkeypatch):
+    """However many partitions shuffles have, the tables of each round are as few files as there are cores."""
+    from strandbase.llm import common
+
+    paths, fresh, old = [], common.new_path, {}
+    monkeypatch.setattr(common, "new_path", lambda *a: paths.append(fresh(*a)) or paths[-1])
+    for key, value in (("spark.sql.shuffle.partitions", "40"), ("spark.sql.adaptive.coalescePartitions.enabled", "false")):
+        old[key] = spark.conf.get(key, None)
+        spark.conf.set(key, value)
+    try:
+        rows = [(i, f"text {i // 3} of {i // 3} in words of its own {i // 3}") for i in range(300)]
+        out = simhash.simhash_digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    finally:
+        for key, value in old.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert len(out) == 300 and all(r.component_id <= r.doc_id - r.doc_id % 3 for r in out)
+    files = [len(list(Path(p.removeprefix("file://")).glob("part-*"))) for p in paths]
+    assert len(files) >= 6 and max(files) <= spark.sparkContext.defaultParallelism
+
+
+def test_more_rows_are_written_in_more_files(spark, monkeypatch):
+    from strandbase.llm import common
+
+    monkeypatch.setattr(common, "ROWS_A_FILE", 10)
+    table = common.stage(spark.range(0, 150, 1, 60), "many", 150)
+    assert table.count() == 150 and len(table.inputFiles()) == 15
