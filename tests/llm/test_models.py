@@ -197,3 +197,50 @@ def test_few_texts_are_read_at_once_without_their_own_counts():
     got = pa.Table.from_batches(toxicity.evidence_of_labelled(judge, iter([batch])))
     assert got.num_rows == 600 and max(seen) < toxicity.FIT_CHARS + 4000 and sum(seen) > 1_900_000
     assert np.allclose(np.array(got["x"].to_pylist()), toxicity.read_labelled(judge, texts, np.arange(600) % 2 == 1))
+
+
+def quality_rows(spark, n, seed):
+    rng = np.random.default_rng(seed)
+    good = rng.random(n) < 0.8
+    f = rng.normal(0, 1, (n, quality.N_FEATURES)) * np.arange(1, 13) + good[:, None] * np.linspace(0.5, 2, 12)
+    return f, good, spark.createDataFrame([(int(g), x.tolist()) for g, x in zip(good, f)], "label int, f array<double>").repartition(5)
+
+
+def test_weights_are_those_of_all_pairs(spark):
+    """Against Newton's method on every pair of a good and a bad row."""
+    f, good, rows = quality_rows(spark, 600, 1)
+    mean, std, w = quality.fit_all_pairs(rows)
+    assert np.allclose(mean, f.mean(axis=0)) and np.allclose(std, f.std(axis=0) + 1e-3)
+    z = (f - f.mean(axis=0)) / (f.std(axis=0) + 1e-3)
+    x, plain = (z[good][:, None] - z[~good]).reshape(-1, quality.N_FEATURES), np.zeros(quality.N_FEATURES)
+    for _ in range(20):
+        p = 1 / (1 + np.exp(x @ plain))
+        hessian = (x * (p * (1 - p))[:, None]).T @ x / len(x) + 1e-3 * np.eye(len(plain))
+        plain -= np.linalg.solve(hessian, -(x * p[:, None]).mean(axis=0) + 1e-3 * plain)
+    assert w == pytest.approx(plain, abs=1e-3)
+
+
+@pytest.mark.parametrize("seed, step", [(2, 0.0), (3, 0.25)])
+def test_cut_counts_all_rows(spark, seed, step):
+    rng = np.random.default_rng(seed)
+    good = rng.random(3000) < 0.7
+    s = rng.normal(good * 1.5, 1)
+    s = np.round(s / step) * step if step else s  # many equal ones
+    at, apart = quality.cut(spark.createDataFrame([(float(x), int(g)) for x, g in zip(s, good)], "s double, good long"))
+    quantile = quality.best_quantile(s, good, np.ones(len(s)))
+    assert at == pytest.approx(quality.at_quantile(s, np.ones(len(s)), quantile))
+    assert apart == pytest.approx(np.median(s[good]) - np.median(s[~good]))
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    """Of 30,000 labelled rows no part is left out: the statistics of the features are those of all."""
+    rows = [(i, "good words here " * (1 + i % 3) if i % 4 else f"!!! ### {i % 7} $$") for i in range(30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 4 > 0 as int) as quality")
+    import zlib
+
+    learnt = [t for i, t in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(learnt) > 20_000
+    of = {t: quality.text_features(t) for t in set(learnt)}
+    ranker = quality.fit(docs, labels)
+    assert ranker.mean == pytest.approx(np.mean([of[t] for t in learnt], axis=0), abs=1e-9)
