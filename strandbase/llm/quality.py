@@ -174,7 +174,7 @@ def fit_all_pairs(rows: DataFrame, ridge: float = 1e-3, steps: int = 30) -> tupl
         return None
     mean = (x.sum(axis=0) + y.sum(axis=0)) / (n.sum() + m.sum())
     square = np.diag(xx.sum(axis=0) + yy.sum(axis=0)) / (n.sum() + m.sum())
-    std, w = np.sqrt(np.maximum(square - mean**2, 0)) + 1e-3, zero
+    std, w, moved = np.sqrt(np.maximum(square - mean**2, 0)) + 1e-3, zero, np.inf
     for _ in range(steps):
         n, s, x, xx, m, t, y, yy = _by_strength(rows, mean, std, w)
         p = 1 / (1 + np.exp(np.clip(s[:, None] - t, -30, 30)))
@@ -183,8 +183,9 @@ def fit_all_pairs(rows: DataFrame, ridge: float = 1e-3, steps: int = 30) -> tupl
         cross = x.T @ q @ y
         hessian = (np.tensordot(q @ m, xx, 1) + np.tensordot(n @ q, yy, 1) - cross - cross.T) / pairs + ridge * np.eye(len(w))
         move = np.linalg.solve(hessian, gradient)
-        w = w - move
-        if np.abs(move).max() < 1e-6:
+        w, last, moved = w - move, moved, np.abs(move).max()
+        # Near the end steps shrink by far more than half, until rows that change their bin are all that moves.
+        if moved < 1e-6 or 2 * moved > last and moved < 1e-2:
             break
     return mean, std, w
 

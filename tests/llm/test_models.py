@@ -244,3 +244,10 @@ def test_quality_learns_from_every_labelled_row(spark):
     of = {t: quality.text_features(t) for t in set(learnt)}
     ranker = quality.fit(docs, labels)
     assert ranker.mean == pytest.approx(np.mean([of[t] for t in learnt], axis=0), abs=1e-9)
+
+
+def test_steps_end_when_only_bins_change(spark, monkeypatch):
+    seen, plain = [], quality._by_strength
+    monkeypatch.setattr(quality, "_by_strength", lambda *a: seen.append(1) or plain(*a))
+    quality.fit_all_pairs(quality_rows(spark, 2000, 5)[2])
+    assert len(seen) < 20
