@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -13,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import decayed
 from ..language import nodes as n
+from . import neighbours
 from .searching import clean_only, dense_scores
 
-#: Sources that a sweep scores at once; the side that goes to every task has at most so many vectors.
+#: Sources that nearest_targets scores at once; the side that goes to every task has at most so many vectors.
 BATCH = 1000
 
 
@@ -74,10 +73,9 @@ def nearest_targets(sources: Sequence[tuple[str, Sequence[float]]], targets: Dat
 
 
 def sweep(sources: DataFrame, targets: DataFrame, vector: str, existing: DataFrame, limit: int, at_least: float) -> DataFrame:
-    """nearest_targets of every row of ``sources``, in batches of at most BATCH; the driver holds one partition of them."""
-    rows = ((r[0], r[1]) for r in clean_only(sources, vector).filter(F.col(vector).isNotNull()).select("id", vector).toLocalIterator())
-    parts = [nearest_targets(batch, targets, vector, existing, limit, at_least) for batch in iter(lambda: list(islice(rows, BATCH)), [])]
-    return reduce(DataFrame.unionByName, parts) if parts else nearest_targets([], targets, vector, existing, limit, at_least)
+    """nearest_targets of every row of ``sources``, however many: blocks of both sides meet in the tasks."""
+    given = clean_only(targets, vector)
+    return neighbours.all_pairs(given if sources is targets else clean_only(sources, vector), given, vector, existing, limit, at_least)
 
 
 def decay_sweep(edges: DataFrame, decay: n.DecayDecl | None, now_ms: int) -> DataFrame:
