@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
-from .functions import scalars
+from .functions import scalars, words
 from .functions import vectors as V
 from .functions.vectorisers import HashVectoriser
 from .language import nodes as n
@@ -214,9 +214,7 @@ WORDS = """t AS (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS dim FR
 
 def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id and words, the sparse vector of each document by its own words."""
-    words = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.explode(F.split(F.lower("text"), " ")).alias("dim")).filter("dim <> ''")
-    weights = words.groupBy("id", "dim").agg(F.log1p(F.count("*").cast("double")).alias("weight"))
-    return weights.groupBy("id").agg(F.collect_list(F.struct("dim", "weight")).alias("words"))  # as many as the document has words
+    return words.word_vectors(table(spark, sf_dir, "documents"), F.col("doc_id").cast("string"), "text")
 
 
 @query(f"WITH {WORDS} SELECT id, round(score, 5) AS score FROM s ORDER BY s.score DESC, id LIMIT 20")
