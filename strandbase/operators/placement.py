@@ -10,6 +10,8 @@ from ..functions import scalars
 
 TIERS = ("Hot", "Warm", "Archive")
 DAY_MS = 86_400_000
+#: Rows of sets that one task makes pairs of.
+ROWS_A_TASK = 400_000
 
 
 def tier_counts(tiers: DataFrame, column: str = "_tier") -> DataFrame:
@@ -19,14 +21,30 @@ def tier_counts(tiers: DataFrame, column: str = "_tier") -> DataFrame:
     return names.join(counts, "tier", "left").select("tier", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def cooccurrence(sets: DataFrame, members: str) -> DataFrame:
+def parts_for(rows: DataFrame) -> int:
+    """Tasks that sets of so many rows are dealt to: a few, or as many as ROWS_A_TASK asks for."""
+    return max(-(-rows.count() // ROWS_A_TASK), min(rows.sparkSession.sparkContext.defaultParallelism, 16))
+
+
+def sets_by(rows: DataFrame, key: str, member: str, parts: int) -> DataFrame:
+    """part and members: the different members of each key, dealt out to ``parts`` tasks; rows without a key are in no set."""
+    dealt = rows.select(key, member).filter(F.col(key).isNotNull()).withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).repartitionById(parts, "part")
+    return dealt.groupBy("part", key).agg(F.collect_set(member).alias("members")).select("part", "members")
+
+
+def cooccurrence(sets: DataFrame, members: str, parts: int | None = None) -> DataFrame:
     """a, b, score of unordered pairs: the sum of 1 / (n - 1) over the sets of n that hold both.
 
-    Sets are what one statement named together, a few ids; the pairs of one set are made from its own row.
+    Sets are what one statement named together, a few ids; the pairs of one set are made from its own row. With
+    ``parts``, sets are those of ``sets_by``: pairs are summed in their tasks first and then dealt out to as many tasks
+    again, so that no task holds more than its share of the pairs.
     """
-    s = sets.select(F.array_sort(F.array_distinct(members)).alias("s")).filter(F.size("s") > 1)
-    pairs = s.select((1.0 / (F.size("s") - 1)).alias("w"), F.posexplode("s").alias("i", "a"), "s")
-    pairs = pairs.select("w", "a", F.explode(F.slice("s", F.col("i") + 2, F.greatest(F.size("s") - F.col("i") - 1, F.lit(0)))).alias("b"))
+    own = ["part"] if parts else []
+    s = sets.select(*own, F.array_sort(F.array_distinct(members)).alias("s")).filter(F.size("s") > 1)
+    pairs = s.select(*own, (1.0 / (F.size("s") - 1)).alias("w"), F.posexplode("s").alias("i", "a"), "s")
+    pairs = pairs.select(*own, "w", "a", F.explode(F.slice("s", F.col("i") + 2, F.greatest(F.size("s") - F.col("i") - 1, F.lit(0)))).alias("b"))
+    if parts:
+        pairs = pairs.groupBy("part", "a", "b").agg(F.sum("w").alias("w")).repartition(parts, "a", "b")
     return pairs.groupBy("a", "b").agg(F.sum("w").alias("score"))
 
 

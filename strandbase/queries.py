@@ -691,7 +691,9 @@ TOGETHER = "p AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS x FROM lineitem)
 
 def together(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts of each order, a few line items."""
-    return placement.cooccurrence(table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts")), "parts")
+    rows = table(spark, sf_dir, "lineitem")
+    parts = placement.parts_for(rows)
+    return placement.cooccurrence(placement.sets_by(rows, "l_orderkey", "l_partkey", parts), "members", parts)
 
 
 @query(f"WITH {TOGETHER} SELECT a, b, round(score, 6) AS score FROM s")
